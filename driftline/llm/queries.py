@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm.bpe import encode_corpus, tokenizer
 from driftline.llm.components import linked_records
+from driftline.llm.mixture import mix, reached
 from driftline.llm.rankwalk import rank_walk
 from driftline.llm.setjoin import classes, expand, links_per_record, similar_sets
 from driftline.llm.topn import highest_per_item, top_n_per_group
@@ -63,5 +65,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(ranked, ["pair_index"], [("walk_weight", "desc"), ("path", "asc"), ("line", "asc")], 5).select("pair_index", "path", "line")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's token ids by byte_bpe_50k."""
+    return encode_corpus(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, tokens, and documents whose decoded ids are not their text (none)."""
+    t = tokenizer()
+    coded = encode_corpus(table(spark, d, "documents").select("source", "text"), "text")
+    changed = t.decode(F.col("ids")) != F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return coded.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids")).alias("tokens"), F.count_if(changed).alias("changed"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture of documents to source_targets' shares: how often each document is used for a source."""
+    docs = encode_corpus(table(spark, d, "documents").select("doc_id", "source", "text"), "text")
+    docs = docs.select("doc_id", "source", "text", F.size("ids").alias("tokens"))
+    return mix(docs, table(spark, d, "source_targets"), "doc_id", "text", "source", "tokens")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every listed source."""
+    return reached(p8_mixture(spark, d), table(spark, d, "source_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
