@@ -1,14 +1,14 @@
 """Token ids of a corpus by a public byte-level BPE tokenizer.
 
 Texts are cut into words by the tokenizer's pattern. A word that is itself a
-token is looked up where it stands; every other distinct word of the corpus is
-encoded once: a Spark higher-order ``aggregate`` folds merges over its byte
-ids, in each step the adjacent pair of lowest rank, and the ids are joined back
-to the word's places. Ranks come from a literal: a perfect hash table of all
-merges, held in constant arrays, so that a lookup is two array reads (Spark
-searches a map literal of 50,000 entries from front to back). Words of more
-than ``FOLD_BYTES`` bytes, for which a fold is quadratic, take an equivalent
-heap in an Arrow function.
+token is looked up in the vocabulary, a table of fixed size that is broadcast;
+every other distinct word of the corpus is encoded once: a Spark higher-order
+``aggregate`` folds merges over its byte ids, in each step the adjacent pair of
+lowest rank, and the ids are joined back to the word's places. Ranks come from
+a literal rank map: a perfect hash table of all merges in binary constants, so
+that a lookup reads a few bytes (Spark searches a map literal of 50,000 entries
+from front to back). Words of more than ``FOLD_BYTES`` bytes, for which a fold
+is quadratic, take an equivalent heap in an Arrow function.
 
 Equal texts are encoded once; places are keyed by the text's MD5.
 """
@@ -21,8 +21,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.runtime import col, fresh, lookup_salted
@@ -30,7 +29,7 @@ from driftline.runtime import col, fresh, lookup_salted
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FOLD_BYTES = 96
 # Primes of the hash functions; products stay far below 2**63.
-_BUCKETS, _P1, _P2 = 16_381, 131_071, 65_521
+_BUCKETS, _P1, _P2 = 16_381, 59_999, 65_521  # keys below P1 * P2 (3.9e9) are told apart
 
 
 def default_path() -> str:
@@ -49,18 +48,18 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Table:
-    """A perfect hash of 64-bit keys: slot = (k mod P1 * (2 d + 1) + k mod P2) mod size, with d of the key's bucket."""
+    """A perfect hash of keys: slot = ((k mod P1 + 1) * (2 d + 1) + k mod P2) mod size, with d of the key's bucket."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.size = 2 * len(keys) + 257
-        while any(self.size % q == 0 for q in (2, 3, 5, 7)):
-            self.size += 1
+        self.size = len(keys) * 5 // 4 + 257
+        while any(self.size % q == 0 for q in range(2, int(self.size**0.5) + 1)):
+            self.size += 1  # a prime, so that no key's slot is the same for all d
         self.shift = np.zeros(_BUCKETS, dtype=np.int64)
         self.slots = np.full(self.size, -1, dtype=np.int64)  # index of the key
         members: dict[int, list[int]] = {}
         for i, b in enumerate((keys % _BUCKETS).tolist()):
             members.setdefault(b, []).append(i)
-        k1, k2 = keys % _P1, keys % _P2
+        k1, k2 = keys % _P1 + 1, keys % _P2
         for b, own in sorted(members.items(), key=lambda x: (-len(x[1]), x[0])):
             for d in range(1 << 20):
                 at = (k1[own] * (2 * d + 1) + k2[own]) % self.size
@@ -72,9 +71,19 @@ class _Table:
                 raise ValueError("no perfect hash found")
 
 
-def _array(values, kind: str) -> Column:
-    """A constant array: folded into one literal by the optimizer."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Unsigned numbers as big-endian bytes of equal width."""
+    return np.asarray(values, dtype=">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+
+
+def _read(packed: bytes, width: int, index: Column) -> Column:
+    """The number at a 0-based place of such a constant."""
+    return F.conv(F.hex(F.substr(F.lit(packed), (index * width + 1).cast("int"), F.lit(width))), 16, 10).cast("bigint")
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 class Vocabulary:
@@ -95,10 +104,6 @@ class Vocabulary:
         keys = np.array([a * 65_536 + b for a, b in self.merges], dtype=np.int64)
         ranks = np.array([r for r, _ in self.merges.values()])
         self.merge_table, self.merge_keys, self.merge_ranks = _Table(keys), keys, ranks
-        # Whole words: the direct token is taken only where merging leads to it, as for every word.
-        self.words = np.array([i for i, p in self.pieces.items() if self.encode_bytes(p) == [i]])
-        self.word_keys = np.array([xxhash.xxh64_intdigest(self.pieces[i], seed=42) for i in self.words.tolist()], dtype=np.uint64).view(np.int64)
-        self.word_table = _Table(self.word_keys)
 
     def encode_bytes(self, word: bytes) -> list[int]:
         """Merges by a heap: n log n for a word of n bytes."""
@@ -124,59 +129,67 @@ class Vocabulary:
 
 
 class Tokenizer:
-    """Column expressions over constant arrays of a vocabulary."""
+    """Column expressions of a vocabulary."""
 
     def __init__(self, v: Vocabulary) -> None:
-        t, w = v.merge_table, v.word_table
-        self._merge = (
-            t.size,
-            _array(t.shift, "int"),
-            _array(np.where(t.slots >= 0, v.merge_keys[t.slots], -1), "bigint"),
-            _array(np.where(t.slots >= 0, v.merge_ranks[t.slots], -1), "int"),
-            _array([i for _, i in v.merges.values()], "int"),
-        )
-        self._bytes = _array(v.byte_ids, "int")
-        self._hex = F.split(F.lit(",".join(v.pieces.get(i, b"").hex().upper() for i in range(max(v.pieces) + 1))), ",")
-        self._whole = (w.size, _array(w.shift, "int"), _array(np.where(w.slots >= 0, v.words[w.slots], -1), "int"), _array(np.where(w.slots >= 0, v.word_keys[w.slots], 0), "bigint"))
-
-    def whole(self, word: Column) -> Column:
-        """The id of a word that is one token, else null."""
-        size, shift, ids, hashes = self._whole
-        def look(h: Column) -> Column:
-            slot = (F.pmod(h, F.lit(_P1)) * (2 * F.get(shift, F.pmod(h, F.lit(_BUCKETS)).cast("int")) + 1) + F.pmod(h, F.lit(_P2))) % size
-            return F.get(F.transform(F.array(slot.cast("int")), lambda s: F.when(F.get(hashes, s) == h, F.get(ids, s))), 0)
-        found = F.get(F.transform(F.array(F.xxhash64(word)), look), 0)
-        return F.get(F.transform(F.array(found), lambda i: F.when(F.hex(word) == F.get(self._hex, i), i)), 0)
+        self.v = v
+        t = v.merge_table
+        none = 2**32 - 1
+        self._shift = _packed(t.shift, 3)
+        self._keys = _packed(np.where(t.slots >= 0, v.merge_keys[t.slots], none), 4)
+        self._ranks = _packed(np.where(t.slots >= 0, v.merge_ranks[t.slots], 0), 2)
+        self._made = _packed(np.array([i for _, i in v.merges.values()]), 2)
+        self._starts = _packed(np.array(v.byte_ids), 2)
+        self._size = t.size
+
+    def words(self, spark: SparkSession) -> DataFrame:
+        """(word, id) of the words that are one token: at most as many rows as the vocabulary has."""
+        rows = []
+        for i, piece in self.v.pieces.items():
+            try:
+                rows.append((piece.decode(), i)) if self.v.encode_bytes(piece) == [i] else None
+            except UnicodeDecodeError:
+                continue
+        return spark.createDataFrame(pd.DataFrame(rows, columns=["word", "id"]), "word string, id int")
+
+    def _rank(self, a: Column, b: Column) -> Column:
+        """The rank of merging two ids, null if they don't merge."""
+        def slot(k: Column) -> Column:
+            return ((k % _P1 + 1) * (2 * _read(self._shift, 3, k % _BUCKETS) + 1) + k % _P2) % self._size
+
+        pair = F.struct((a.cast("bigint") * 65_536 + b).alias("k"))
+        found = _let(pair, lambda p: F.struct(p["k"].alias("k"), slot(p["k"]).alias("s")))
+        return _let(found, lambda f: F.when(_read(self._keys, 4, f["s"]) == f["k"], _read(self._ranks, 2, f["s"])))
 
     def fold(self, word: Column) -> Column:
         """Ids of a word: merges of lowest rank folded over its bytes."""
-        size, shift, keys, ranks, made = self._merge
-
-        def rank(a: Column, b: Column) -> Column:
-            def at(k: Column) -> Column:
-                slot = ((k % _P1) * (2 * F.get(shift, (k % _BUCKETS).cast("int")) + 1) + k % _P2) % size
-                return F.get(F.transform(F.array(slot.cast("int")), lambda s: F.when(F.get(keys, s) == k, F.get(ranks, s))), 0)
-            return F.get(F.transform(F.array(a.cast("bigint") * 65_536 + b), at), 0)
 
         def step(acc: Column, _: Column) -> Column:
             ids = acc["ids"]
-            found = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank)
+            found = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), self._rank)
 
-            def merge(rs: Column) -> Column:
-                low = F.array_min(rs)
-                place = F.array_position(rs, low).cast("int")
-                new = F.concat(F.slice(ids, F.lit(1), place - 1), F.array(F.get(made, low)), F.slice(ids, place + 2, F.size(ids)))
-                return F.when(low.isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(new.alias("ids"), F.lit(False).alias("done")))
+            def merge(m: Column) -> Column:
+                place = m["place"]
+                new = F.concat(F.slice(ids, F.lit(1), place - 1), F.array(_read(self._made, 2, m["low"]).cast("int")), F.slice(ids, place + 2, F.size(ids)))
+                return F.when(m["low"].isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(new.alias("ids"), F.lit(False).alias("done")))
 
-            return F.when(acc["done"], acc).otherwise(F.get(F.transform(F.array(found), merge), 0))
+            least = _let(found, lambda rs: F.struct(F.array_min(rs).alias("low"), F.array_position(rs, F.array_min(rs)).cast("int").alias("place")))
+            return F.when(acc["done"], acc).otherwise(_let(least, merge))
 
         raw = F.encode(word, "UTF-8")
-        first = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(self._bytes, F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")))
+        first = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: _read(self._starts, 2, F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")).cast("int"))
         return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.struct(first.alias("ids"), F.lit(False).alias("done")), step, lambda acc: acc["ids"])
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of a list of ids, as BINARY: its tokens' pieces put together; null stays null."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._hex, i)), ""))
+    def decode(self, ids: DataFrame, record: str, column: str, out: str = "bytes") -> DataFrame:
+        """(record, out): the text's bytes, put together from the tokens' binary pieces.
+
+        One row per row of a distinct ``record``; an empty or null list gives empty bytes.
+        """
+        v = self.v
+        pieces = F.broadcast(ids.sparkSession.createDataFrame(pd.DataFrame({"id": list(v.pieces), "piece": [v.pieces[i].hex().upper() for i in v.pieces]}), "id int, piece string"))
+        at = ids.select(col(record), F.posexplode_outer(col(column)).alias("pos", "id")).join(pieces, "id", "left")
+        parts = at.groupBy(col(record)).agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))).alias("p"))
+        return parts.select(col(record), F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias(out))
 
 
 @cache
@@ -208,18 +221,20 @@ def encode_corpus(df: DataFrame, text: str, path: str | None = None, ids: str =
     out = fresh(df.columns, ids)
     key = fresh(df.columns, "__k")
     rows = df.withColumn(key, F.when(F.length(col(text)) > 0, F.unhex(F.md5(F.encode(col(text), "UTF-8")))))
-    cut_up = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
-    # Hot texts count once: places are those of distinct texts.
+    # Hot texts count once: places are those of distinct texts, and stay partitioned by them.
     texts = rows.filter(col(key).isNotNull()).groupBy(col(key).alias("k")).agg(F.first(col(text)).alias("t"))
     places = texts.select("k", F.posexplode(F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))).alias("pos", "word"))
-    odd = places.filter(t.whole(F.col("word")).isNull())
+    known = F.broadcast(t.words(df.sparkSession))
+    whole = places.join(known, "word").select("k", "pos", F.array("id").alias("part"))
+    odd = places.join(known, "word", "left_anti")
     words = odd.select("word").distinct()
     n = F.octet_length("word")
     coded = words.filter(n <= FOLD_BYTES).select("word", t.fold(F.col("word")).alias("part")).unionByName(
         words.filter(n > FOLD_BYTES).select("word", _long_words(path or default_path())("word").alias("part"))
     )
-    parts = lookup_salted(odd, coded, "word", "inner").groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("pos", "part")).alias("__parts"))
-    joined = lookup_salted(rows, parts, key)
-    direct = F.filter(F.transform(cut_up, lambda w, i: F.struct(i.alias("pos"), F.array(t.whole(w)).alias("part"))), lambda x: F.get(x["part"], 0).isNotNull())
-    every = F.array_sort(F.concat(direct, F.coalesce("__parts", F.array().cast("array<struct<pos:int,part:array<int>>>"))))
-    return joined.withColumn(out, F.flatten(F.transform(every, lambda x: x["part"]))).select(*[col(c) for c in df.columns], out)
+    gather = lambda d, c: d.groupBy("k").agg(F.collect_list(F.struct("pos", "part")).alias(c))
+    parts = gather(whole, "a").join(gather(lookup_salted(odd, coded, "word", "inner"), "b"), "k", "full")
+    none = F.array().cast("array<struct<pos:int,part:array<int>>>")
+    every = F.array_sort(F.concat(F.coalesce("a", none), F.coalesce("b", none)))
+    coded_texts = parts.select(F.col("k").alias(key), F.flatten(F.transform(every, lambda x: x["part"])).alias(out))
+    return lookup_salted(rows, coded_texts, key).withColumn(out, F.coalesce(col(out), F.array().cast("array<int>"))).select(*[col(c) for c in df.columns], col(out))

@@ -13,7 +13,8 @@ from driftline.llm.mixture import mix, reached
 from driftline.llm.rankwalk import rank_walk
 from driftline.llm.setjoin import classes, expand, links_per_record, similar_sets
 from driftline.llm.topn import highest_per_item, top_n_per_group
-from driftline.runtime import table, tidy_path
+from driftline.llm.truncation import cut_probability, source_rates
+from driftline.runtime import cut, table, tidy_path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,15 +74,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Per source: documents, tokens, and documents whose decoded ids are not their text (none)."""
     t = tokenizer()
-    coded = encode_corpus(table(spark, d, "documents").select("source", "text"), "text")
-    changed = t.decode(F.col("ids")) != F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids")).alias("tokens"), F.count_if(changed).alias("changed"))
+    coded = cut(encode_corpus(table(spark, d, "documents").select("doc_id", "source", "text"), "text"))
+    both = coded.join(t.decode(coded, "doc_id", "ids"), "doc_id")
+    changed = F.col("bytes") != F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids")).alias("tokens"), F.count_if(changed).alias("changed"))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture of documents to source_targets' shares: how often each document is used for a source."""
     docs = encode_corpus(table(spark, d, "documents").select("doc_id", "source", "text"), "text")
-    docs = docs.select("doc_id", "source", "text", F.size("ids").alias("tokens"))
+    docs = cut(docs.select("doc_id", "source", "text", F.size("ids").alias("tokens")))
     return mix(docs, table(spark, d, "source_targets"), "doc_id", "text", "source", "tokens")
 
 
@@ -90,5 +92,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached(p8_mixture(spark, d), table(spark, d, "source_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text ends before its content does."""
+    judged = cut_probability(table(spark, d, "documents"), "doc_id", "text", "source")
+    return judged.filter("probability >= 0.5").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return source_rates(cut_probability(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
