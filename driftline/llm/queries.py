@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.bpe import encode_corpus, tokenizer
 from driftline.llm.components import linked_records
+from driftline.llm.generated import machine_files
 from driftline.llm.mixture import mix, reached
 from driftline.llm.rankwalk import rank_walk
 from driftline.llm.setjoin import classes, expand, links_per_record, similar_sets
@@ -54,6 +55,24 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
     return links_per_record(member, similar_sets(member, SIMILAR)).select(F.col("id").alias("side_id"), F.col("rep").alias("class_side_id"), "links")
 
 
+def _machine_files(spark: SparkSession, d: str) -> DataFrame:
+    sides = table(spark, d, "sides").select("side_id", "pair_index", "role", "file_names").dropDuplicates(["side_id"])
+    shown = table(spark, d, "patch_statements").select("pair_index", F.col("side").alias("role"), "path", "text")
+    lines = shown.join(sides.select("pair_index", "role", "side_id"), ["pair_index", "role"]).select("side_id", "path", "text")
+    files = sides.select("side_id", F.explode("file_names").alias("path")).unionByName(lines.select("side_id", "path").distinct())
+    return machine_files(files, lines, ["side_id"], "path", "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files of sides that are generated, minified, vendored or data stored as code."""
+    return _machine_files(spark, d).select("side_id", "path")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many files of sides are no hand-written source, by reason."""
+    return _machine_files(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 SCORES = ["line_similarity", "symbol_score", "llm_confidence", "patch_score"]
 
 
