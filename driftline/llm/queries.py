@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.llm.bpe import encode_corpus, tokenizer
 from driftline.llm.components import linked_records
 from driftline.llm.generated import machine_files
+from driftline.llm.markup import clean_documents, marked_elements
 from driftline.llm.mixture import mix, reached
 from driftline.llm.rankwalk import rank_walk
 from driftline.llm.setjoin import classes, expand, links_per_record, similar_sets
@@ -29,6 +30,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, list items, code blocks and formulas of marked-up bodies, and marked-up titles, as clean text."""
+    return marked_elements(table(spark, d, "sides"), "side_id", "title", "body")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every side's body as clean text."""
+    return clean_documents(table(spark, d, "sides").select("side_id", "body").distinct(), "body").select("side_id", "clean_text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every case with the smallest case of its linked group."""
     cases = table(spark, d, "practical_localization_results_14")
