@@ -20,7 +20,7 @@ _LINE = "struct<hunk:int,pos:int,kind:string,old:int,new:int,text:string>"
 
 def _lines(patch: Column) -> Column:
     """Every hunk line with its hunk, kind and old and new line number; file headers are skipped wherever they stand."""
-    raw = F.split(F.regexp_replace(F.coalesce(patch, F.lit("")), r"\r\n?|[\x0b\x0c\x85  ]", "\n"), "\n")
+    raw = F.split(F.regexp_replace(F.coalesce(patch, F.lit("")), r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n")
     # split leaves one empty piece behind a final line end (and for an empty patch); it is no line
     lines = F.when(F.element_at(raw, -1) == "", F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
     start = F.struct(F.lit(0).alias("hunk"), F.lit(0).alias("old"), F.lit(0).alias("new"), F.array().cast(f"array<{_LINE}>").alias("out"))
