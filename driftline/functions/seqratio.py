@@ -13,12 +13,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.paths import basename, extension, path_tokens
 from driftline.functions.text import TOKEN_ALL, jaccard, strip, tokens
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib ratio of two texts; null if either is null."""
     matcher, last, out = SequenceMatcher(), None, []

@@ -28,7 +28,7 @@ def touching(history: DataFrame, windows: DataFrame, key: str, ts: str, item: st
 
     The interval condition becomes an equi join on (key, time bin).
     """
-    to_bin = lambda c: F.floor(F.unix_micros(c) / (bin_seconds * 1_000_000))
+    to_bin = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (bin_seconds * 1_000_000))
     w = windows.withColumn("__bin", F.explode(F.sequence(to_bin(F.col("start")), to_bin(F.col("end")))))
     h = history.withColumn("__bin", to_bin(F.col(ts)))
     hits = w.join(h, [key, "__bin"]).filter(F.col(ts).between(F.col("start"), F.col("end"))).drop("__bin")

@@ -119,8 +119,8 @@ def reciprocal(rank: Column, weight: float, shift: float) -> Column:
 
 
 def scaled(score: Column, keys: Sequence[str]) -> Column:
-    """A score over its key's maximum."""
-    return score / F.max(score).over(Window.partitionBy(*keys))
+    """A score over its key's maximum; 0 where that is 0."""
+    return F.coalesce(F.try_divide(score, F.max(score).over(Window.partitionBy(*keys))), F.lit(0.0))
 
 
 def blocks_of(df: DataFrame, keys: Sequence[str], radius: int = 8, bucket: int = 25) -> DataFrame:

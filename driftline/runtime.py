@@ -48,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's checkpoint folder (a temporary one only where none is named)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or tempfile.mkdtemp(prefix="driftline-")
+
+
 def fresh(columns: list[str], stem: str) -> str:
     """A column name beginning with ``stem`` that is not in ``columns`` (names compare without case)."""
     taken = {c.lower() for c in columns}
