@@ -192,7 +192,8 @@ def evidence_gate(similarity: Column, proximity: Column, modules: Column, block:
 
 def clamp01(c: Column, default: float) -> Column:
     """A text as a number within [0, 1], ``default`` if it is none."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c.try_cast("double"))), F.lit(default))
+    x = c.try_cast("double")
+    return F.when(x.isNull(), F.lit(default)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def valid_ids(ids: Column, upper: Column | int) -> Column:

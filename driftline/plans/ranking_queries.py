@@ -172,7 +172,7 @@ def clamped_numbers(spark, d):
     return table(spark, d, "sides").select("number", clamp01(F.col("number"), 0.5).alias("value")).distinct()
 
 
-SQL_CLAMPED = "SELECT DISTINCT number, coalesce(least(1, greatest(0, try_cast(number AS DOUBLE))), 0.5)::DOUBLE AS value FROM sides"
+SQL_CLAMPED = "SELECT DISTINCT number, CASE WHEN try_cast(number AS DOUBLE) IS NULL THEN 0.5 ELSE least(1, greatest(0, try_cast(number AS DOUBLE))) END::DOUBLE AS value FROM sides"
 
 KS = [1, 3, 5, 8]
 
