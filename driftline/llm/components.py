@@ -203,20 +203,17 @@ def artifact(url: Column) -> Column:
 
 
 def _abbreviations(names: DataFrame) -> DataFrame:
-    """(short, full) of commit names where the short one abbreviates one other and no second.
+    """(short, full) of commit names where all longer names that begin with the short one begin with the next longer one.
 
-    Names are sorted within (repository, first seven digits); an abbreviation
-    stands directly before what it abbreviates. An ambiguous one names itself.
+    Names meet within (repository, first seven digits), which two commits share
+    by chance alone. A name that abbreviates two different commits names itself.
     """
     sha = F.regexp_extract("name", r"/commit/([0-9a-f]{7,40})$", 1)
-    commits = names.filter(sha != "").withColumn("block", F.expr("substring(name, 1, length(name) - length(regexp_extract(name, '/commit/([0-9a-f]{7,40})$', 1)) + 7)"))
-    w = Window.partitionBy("block").orderBy("name")
-    after, second = F.lead("name").over(w), F.lead("name", 2).over(w)
-    return (
-        commits.withColumn("n1", after).withColumn("n2", second)
-        .filter(F.col("n1").startswith(F.col("name")) & ~F.coalesce(F.col("n2").startswith(F.col("name")) & ~F.col("n2").startswith(F.col("n1")), F.lit(False)))
-        .select(F.col("name").alias("short"), F.col("n1").alias("full"))
-    )
+    commits = names.select("name", sha.alias("sha")).filter("sha <> ''").withColumn("block", F.expr("substring(name, 1, length(name) - length(sha) + 7)"))
+    blocks = commits.groupBy("block").agg(F.array_sort(F.collect_list("name")).alias("all")).filter(F.size("all") > 1)
+    longer = F.filter("all", lambda x: (x != F.col("short")) & x.startswith(F.col("short")))
+    each = blocks.select("all", F.explode("all").alias("short")).withColumn("longer", longer).filter(F.size("longer") > 0).withColumn("full", F.get("longer", 0))
+    return each.filter(F.forall("longer", lambda x: x.startswith(F.col("full")))).select("short", "full")
 
 
 def linked_records(df: DataFrame, record: str, urls: tuple[str, str], group: str = "group_id", core_limit: int = CORE_LIMIT) -> DataFrame:
