@@ -16,7 +16,7 @@ from driftline.llm.rankwalk import rank_walk
 from driftline.llm.setjoin import classes, expand, links_per_record, similar_sets
 from driftline.llm.topn import highest_per_item, top_n_per_group
 from driftline.llm.truncation import cut_probability, source_rates
-from driftline.runtime import cut, table, tidy_path
+from driftline.runtime import cut, lookup_salted, table, tidy_path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,11 +67,11 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _machine_files(spark: SparkSession, d: str) -> DataFrame:
-    sides = table(spark, d, "sides").select("side_id", "pair_index", "role", "file_names").dropDuplicates(["side_id"])
-    shown = table(spark, d, "patch_statements").select("pair_index", F.col("side").alias("role"), "path", "text")
-    lines = shown.join(sides.select("pair_index", "role", "side_id"), ["pair_index", "role"]).select("side_id", "path", "text")
-    files = sides.select("side_id", F.explode("file_names").alias("path")).unionByName(lines.select("side_id", "path").distinct())
-    return machine_files(files, lines, ["side_id"], "path", "text")
+    sides = table(spark, d, "sides").select("side_id", F.coalesce(F.concat(F.col("pair_index").cast("string"), F.lit("\t"), "role"), F.concat(F.lit("side\t"), "side_id")).alias("owner"), "file_names").dropDuplicates(["side_id"])
+    shown = table(spark, d, "patch_statements").select(F.concat(F.col("pair_index").cast("string"), F.lit("\t"), "side").alias("owner"), "path", "text").filter("owner is not null")
+    files = sides.select("owner", F.explode("file_names").alias("path")).unionByName(shown.select("owner", "path").distinct())
+    # Lines are summed up per file before a pair's many lines meet its side.
+    return lookup_salted(machine_files(files, shown, ["owner"], "path", "text"), sides.select("owner", "side_id"), "owner", "inner").select("side_id", "path", "reason")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
