@@ -91,6 +91,12 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return F.when(high == 0, F.lit(0.0)).otherwise(low / high)
 
 
+def statement_shapes(texts: Column) -> Column:
+    """The distinct statements of an ARRAY<STRING> as word tokens joined by blanks, those of eight characters or more."""
+    joined = F.transform(texts, lambda t: F.array_join(F.regexp_extract_all(t, F.lit(TOKEN_WORD), F.lit(0)), " "))
+    return F.array_distinct(F.filter(joined, lambda t: F.length(t) >= 8))
+
+
 def _says_nothing(c: Column) -> Column:
     return c.isNull() | (c == "") | c.isin(TRIVIAL) | c.startswith("//") | c.startswith("*")
 

@@ -11,6 +11,7 @@ from driftline.functions.paths import path_tokens
 from driftline.functions.seqratio import name_similarity, token_similarity
 from driftline.functions.text import TOKEN_ALL, TOKEN_WORD, contains_any, jaccard, pattern_score, tokens
 from driftline.operators.ranking import top_k
+from driftline.runtime import fan_out
 
 
 def directional_similarity(source: DataFrame, target: DataFrame, key: str = "pair_index", lines: int = 80, others: int = 120, best: int = 20) -> DataFrame:
@@ -26,7 +27,7 @@ def directional_similarity(source: DataFrame, target: DataFrame, key: str = "pai
     s = head(source, lines).withColumnRenamed("text", "s").withColumnRenamed("rank", "sr")
     t = head(target, others).select(key, "kind", F.col("text").alias("t")).distinct()
     pairs = s.join(t, [key, "kind"])
-    scored = pairs.select("s", "t").distinct().withColumn("x", token_similarity(F.col("s"), F.col("t")))
+    scored = fan_out(pairs.select("s", "t").distinct()).withColumn("x", token_similarity(F.col("s"), F.col("t")))
     top = pairs.join(scored, ["s", "t"]).groupBy(key, "kind", "sr").agg(F.max("x").alias("x"))
     kept = top_k(top, [key], [F.col("x").desc(), F.col("kind"), F.col("sr")], best)
     return kept.groupBy(key).agg(F.round(F.avg("x"), 6).alias("similarity"))
@@ -60,7 +61,7 @@ def statement_evidence(predicted: DataFrame, deleted: DataFrame, threshold: floa
     """Predicted statements with the most similar line a later change deletes in the same file, from ``threshold`` on."""
     pairs = predicted.select(key, "path", "line", "line_text").join(deleted.select(key, "path", F.col("line_no").alias("deleted_line"), F.col("text").alias("deleted_text")), [key, "path"])
     near = pairs.filter(F.arrays_overlap(tokens(F.col("line_text"), TOKEN_ALL), tokens(F.col("deleted_text"), TOKEN_ALL)))
-    scored = near.select("line_text", "deleted_text").distinct().withColumn("similarity", F.round(token_similarity(F.col("line_text"), F.col("deleted_text")), 6))
+    scored = fan_out(near.select("line_text", "deleted_text").distinct()).withColumn("similarity", F.round(token_similarity(F.col("line_text"), F.col("deleted_text")), 6))
     best = near.join(scored, ["line_text", "deleted_text"]).filter(F.col("similarity") >= threshold)
     return top_k(best, [key, "path", "line"], [F.col("similarity").desc(), F.col("deleted_line"), F.col("deleted_text")], 1).drop("rank")
 

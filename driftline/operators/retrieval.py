@@ -13,6 +13,7 @@ from driftline.functions.seqratio import path_score
 from driftline.functions.text import TOKEN_WORD, clone_tokens, dice_jaccard, dice_jaccard_of, jaccard
 from driftline.functions.vectors import dot, unit
 from driftline.operators.ranking import reciprocal, top_k
+from driftline.runtime import fan_out
 
 def _order() -> list[Column]:
     return [F.col("score").desc(), F.col("path")]
@@ -25,14 +26,13 @@ def pairs_of(sources: DataFrame, targets: DataFrame, key: str = "pair_index") ->
 
 def best_source(scored: DataFrame, key: str = "pair_index") -> DataFrame:
     """Per target the best source, ties to the smallest source path: (key, path, score, matched_source_path)."""
-    per = scored.groupBy(key, "path").agg(F.max("score").alias("score"))
-    tied = scored.join(per, [key, "path", "score"]).groupBy(key, "path", "score").agg(F.min("source_path").alias("matched_source_path"))
-    return tied
+    best = scored.groupBy(key, "path").agg(F.min_by("source_path", F.struct((-F.col("score")).alias("s"), F.col("source_path"))).alias("matched_source_path"), F.max("score").alias("score"))
+    return best.select(key, "path", "score", "matched_source_path")
 
 
 def rank_files(sources: DataFrame, targets: DataFrame, k: int, key: str = "pair_index") -> DataFrame:
     """Top k targets per key by their best path score."""
-    scored = pairs_of(sources, targets, key).withColumn("score", F.round(path_score(F.col("source_path"), F.col("path")), 6))
+    scored = fan_out(pairs_of(sources, targets, key)).withColumn("score", F.round(path_score(F.col("source_path"), F.col("path")), 6))
     return top_k(best_source(scored, key), [key], _order(), k)
 
 
@@ -43,7 +43,7 @@ def token_pairs(sources: DataFrame, targets: DataFrame, key: str = "pair_index")
 
 def high_recall(sources: DataFrame, targets: DataFrame, terms: DataFrame, k: int, key: str = "pair_index") -> DataFrame:
     """.72 path score + .18 equal normalised paths + .10 Jaccard of the source's tokens and terms with the path."""
-    p = pairs_of(sources, targets, key).join(terms.select(key, "terms"), key, "left")
+    p = fan_out(pairs_of(sources, targets, key).join(terms.select(key, "terms"), key, "left"))
     wanted = F.array_union(path_tokens(F.col("source_path")), F.coalesce("terms", F.array().cast("array<string>")))
     score = 0.72 * path_score(F.col("source_path"), F.col("path")) + 0.18 * (norm_path(F.col("source_path")) == norm_path(F.col("path"))).cast("double") + 0.10 * jaccard(wanted, path_tokens(F.col("path")), 1.0)
     return top_k(best_source(p.withColumn("score", F.round(score, 6)), key), [key], _order(), k)
@@ -51,14 +51,14 @@ def high_recall(sources: DataFrame, targets: DataFrame, terms: DataFrame, k: int
 
 def path_prefilter(sources: DataFrame, targets: DataFrame, terms: DataFrame, k: int, key: str = "pair_index") -> DataFrame:
     """.68 path score + .32 Jaccard of path tokens and terms, best source per target, top k."""
-    p = pairs_of(sources, targets, key).join(terms.select(key, "terms"), key, "left")
+    p = fan_out(pairs_of(sources, targets, key).join(terms.select(key, "terms"), key, "left"))
     score = 0.68 * path_score(F.col("source_path"), F.col("path")) + 0.32 * jaccard(path_tokens(F.col("path")), F.coalesce("terms", F.array().cast("array<string>")), 1.0)
     return top_k(best_source(p.withColumn("score", score), key), [key], _order(), k)
 
 
 def companions(sources: DataFrame, targets: DataFrame, k: int, key: str = "pair_index") -> DataFrame:
     """Test and data files near a source: .52 path score + .32 same stem + .16 token overlap, kept from .28, plus .18."""
-    p = pairs_of(sources, targets.filter(is_test_or_data(F.col("path"))), key)
+    p = fan_out(pairs_of(sources, targets.filter(is_test_or_data(F.col("path"))), key))
     score = 0.52 * path_score(F.col("source_path"), F.col("path")) + 0.32 * (stem(F.col("source_path")) == stem(F.col("path"))).cast("double") + 0.16 * jaccard(path_tokens(F.col("source_path")), path_tokens(F.col("path")), 1.0)
     kept = p.withColumn("score", F.round(score, 6)).filter("score >= 0.28").withColumn("score", F.round(F.col("score") + 0.18, 6))
     return top_k(best_source(kept, key), [key], _order(), k)

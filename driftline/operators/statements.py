@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.seqratio import name_similarity, token_similarity
 from driftline.functions.text import TOKEN_ALL, jaccard, meaningful, pattern_score, strip, tokens
 from driftline.operators.ranking import top_k
+from driftline.runtime import fan_out
 
 
 def comparable(statements: DataFrame, files: DataFrame, limit: int = 120, key: str = "pair_index") -> DataFrame:
@@ -36,7 +37,7 @@ def best_statement(lines: DataFrame, sources: DataFrame, key: str = "pair_index"
     a = lines.filter(meaningful(F.col("text"))).select(key, "path", "line", F.col("text").alias("line_text"))
     pairs = a.join(sources.select(key, "path", "source_path", "source_line", "source_text"), [key, "path"])
     near = pairs.filter(F.arrays_overlap(tokens(F.col("line_text"), TOKEN_ALL), tokens(F.col("source_text"), TOKEN_ALL)))
-    scored = near.select("line_text", "source_text").distinct().withColumn("similarity", F.round(token_similarity(F.col("source_text"), F.col("line_text")), 6))
+    scored = fan_out(near.select("line_text", "source_text").distinct()).withColumn("similarity", F.round(token_similarity(F.col("source_text"), F.col("line_text")), 6))
     return (
         near.join(scored, ["line_text", "source_text"])
         .groupBy(key, "path", "line", "line_text")

@@ -54,6 +54,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+def fan_out(df: DataFrame) -> DataFrame:
+    """``df`` evenly over all cores, for work that weighs more than its bytes (adaptive execution would merge small partitions)."""
+    spark = df.sparkSession
+    return df.repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder (a temporary one only where none is named)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
