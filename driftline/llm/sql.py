@@ -27,6 +27,25 @@ k AS (SELECT u, count(*) links FROM (SELECT side_id_a u FROM o UNION ALL SELECT
 SELECT side_id, class_side_id, coalesce(links, 0) links FROM c LEFT JOIN k ON u = side_id
 """
 
+_PLAIN = r"regexp_replace(regexp_replace(lower(regexp_replace({u}, '[?#].*$', '', 's')), '^\s+', ''), '[\s/]+$', '')"
+_FORGE = r"^(?:[a-z][a-z+.-]*://)?(?:[^/@]*@)?(?:www\.|api\.)?([^/]+)/(?:repos/)?([^/]+)/([^/]+?)(?:\.git)?/(pull|issue|commit)s?/([0-9a-z]+).*$"
+
+
+def _artifact(u: str) -> str:
+    return rf"CASE WHEN NOT regexp_full_match({u}, '\s*') THEN regexp_replace(regexp_replace({_PLAIN.format(u=u)}, '{_FORGE}', '\1/\2/\3/\4/\5', 's'), '^[a-z]+://(?:www\.)?', '') END"
+
+
+P3 = rf"""
+WITH RECURSIVE c AS (SELECT DISTINCT case_id, {_artifact('source_url')} s, {_artifact('target_url')} t FROM practical_localization_results_14),
+n AS (SELECT DISTINCT case_id, unnest([s, t]) a FROM c), k AS (SELECT DISTINCT a FROM n WHERE regexp_matches(a, '/commit/[0-9a-f]{{7,40}}$')),
+f AS (SELECT x.a short, min(y.a) nxt, list(y.a) ys FROM k x JOIN k y ON starts_with(y.a, x.a) AND y.a <> x.a GROUP BY 1),
+r AS (SELECT short, list_sort(ys)[-1] whole FROM f WHERE len(list_filter(ys, lambda y: NOT starts_with(y, nxt))) = 0),
+m AS (SELECT DISTINCT case_id, coalesce(whole, a) a FROM n LEFT JOIN r ON short = a WHERE a IS NOT NULL),
+e AS (SELECT DISTINCT x.case_id p, y.case_id q FROM m x JOIN m y USING (a)),
+reach AS (SELECT DISTINCT case_id p, case_id q FROM c UNION SELECT reach.p, e.q FROM reach JOIN e ON reach.q = e.p)
+SELECT min(q) AS group_case_id, p AS case_id FROM reach WHERE p IS NOT NULL GROUP BY p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p4_found": P4, "p4_links": P4_LINKS}
+    return {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_links": P4_LINKS}
