@@ -106,9 +106,9 @@ def lookup_salted(big: DataFrame, small: DataFrame, key: str, how: str = "left")
     floor = max(total / (2 * n), 10_000)
     salts = max(2, n)
     hot = F.broadcast(counts.filter(F.col("__n") >= floor).select(col(key).alias("__hot")))
-    left = big.join(hot, col(key) == F.col("__hot"), "left").withColumn(
-        "__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise((F.rand(17) * salts).cast("int"))
-    )
+    # The salt is a hash of the row, not a random number: a task that runs again after a loss gives the same one.
+    own = F.xxhash64(*[col(c) for c, t in big.dtypes if "map<" not in t and "variant" not in t])
+    left = big.join(hot, col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(own, F.lit(salts)).cast("int")))
     right = (
         small.join(hot, col(key) == F.col("__hot"), "left")
         .withColumn("__salt", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))))
