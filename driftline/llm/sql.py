@@ -1,5 +1,7 @@
 """DuckDB SQL for the pN_ queries that SQL can express."""
 
+from driftline.llm import generated as G
+
 P1 = """
 WITH s AS (SELECT pair_index, path, line, max(score) v FROM target_statements WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
 f AS (SELECT pair_index, path, 0 AS line, max(confidence) v FROM target_files WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY ALL),
@@ -46,6 +48,41 @@ reach AS (SELECT DISTINCT case_id p, case_id q FROM c UNION SELECT reach.p, e.q
 SELECT min(q) AS group_case_id, p AS case_id FROM reach WHERE p IS NOT NULL GROUP BY p
 """
 
+_Q = lambda pattern: pattern.replace("'", "''")
+_TIDY = lambda c: rf"regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '^(?:\./+)+', '')"
+_NUMBER = r"(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)"
+_RUNS = rf"(?:[A-Za-z0-9+/=_-]{{{G.RUN},}}|(?:\\x?[0-9a-fA-F]{{2,3}}){{20,}}|(?:%[0-9A-Fa-f]{{2}}){{30,}})"
+
+
+def _of_language(table: dict, i: int) -> str:
+    return "CASE lang " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in table.items() if k != "other") + f" ELSE {table['other'][i]} END"
+
+
+def _machine_files() -> str:
+    lang = r"CASE WHEN ext IN ('js', 'mjs', 'jsx') THEN 'js' WHEN ext IN ('ts', 'tsx') THEN 'ts' WHEN ext = 'css' THEN 'css' WHEN ext = 'py' THEN 'py' WHEN ext IN ('c', 'h', 'cc', 'cpp') THEN 'c' ELSE 'other' END"
+    is_ = lambda p: f"regexp_matches(path, '{_Q(p)}')"
+    return rf"""
+WITH s AS (SELECT DISTINCT side_id, pair_index, role, file_names FROM sides),
+l AS (SELECT side_id, {_TIDY('path')} path, text t FROM patch_statements p JOIN (SELECT DISTINCT side_id, pair_index, role FROM s) s ON s.pair_index = p.pair_index AND s.role = p.side),
+f AS (SELECT DISTINCT side_id, path FROM (SELECT side_id, {_TIDY('p')} path FROM (SELECT side_id, unnest(file_names) p FROM s) UNION ALL SELECT side_id, path FROM l) WHERE path <> ''),
+m AS (SELECT side_id, path, t, length(t) n, length(t) - length(regexp_replace(t, '\s', '', 'g')) white, length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) word,
+    len(regexp_extract_all(t, '\b{_NUMBER}\b')) numbers, length(regexp_replace(t, '\b{_NUMBER}[uUlL]*\b|[\s,;{{}}\[\]()]', '', 'g')) besides,
+    length(t) - length(regexp_replace(t, '(?:0[xX])?[0-9a-fA-F]{{12,}}', '', 'g')) digits, coalesce(list_sum(list_transform(regexp_extract_all(t, '{_RUNS}'), lambda x: length(x))), 0) encoded,
+    regexp_matches(t, '{_Q(G.COMMENT)}') said, {lang} lang
+  FROM (SELECT *, regexp_extract(lower(path), '\.([a-z0-9]+)$', 1) ext FROM l WHERE length(t) > 0)),
+d AS (SELECT *, CASE WHEN numbers >= 8 AND besides / greatest(n - white, 1) <= 0.1 OR digits / n >= 0.6 AND n >= 40 OR encoded / n >= 0.5 THEN n ELSE 0 END data,
+    n >= {_of_language(G.MINIFIED, 0)} AND white / n <= {_of_language(G.MINIFIED, 1)} AND word / n <= 0.85 AS dense FROM m),
+a AS (SELECT side_id, path, any_value(lang) lang, sum(n) n, sum(data) data, sum(CASE WHEN dense AND data = 0 THEN n ELSE 0 END) dense,
+    bool_or(said AND regexp_matches(t, '{_Q(G.GENERATED)}')) gen, bool_or(said AND regexp_matches(t, '{_Q(G.COPIED)}')) cop FROM d GROUP BY 1, 2)
+SELECT side_id, path, CASE WHEN {is_(G.PLACES)} THEN 'vendored by place' WHEN {is_(G.NAMES)} THEN 'generated by name' WHEN {is_(G.MINIFIED_NAMES)} THEN 'minified by name' WHEN {is_(G.NO_CODE)} THEN NULL
+  WHEN gen THEN 'generated by header' WHEN cop THEN 'vendored by header' WHEN data >= {_of_language(G.DATA, 1)} AND data / n >= {_of_language(G.DATA, 0)} THEN 'data by layout'
+  WHEN dense > 0 AND dense / n >= {_of_language(G.MINIFIED, 2)} THEN 'minified by layout' END reason
+FROM f LEFT JOIN a USING (side_id, path)"""
+
+
+P5 = f"SELECT side_id, path FROM ({_machine_files()}) WHERE reason IS NOT NULL"
+P5_REASONS = f"SELECT reason, count(*) AS files FROM ({_machine_files()}) WHERE reason IS NOT NULL GROUP BY 1"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_links": P4_LINKS}
+    return {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_links": P4_LINKS, "p5_found": P5, "p5_reasons": P5_REASONS}
