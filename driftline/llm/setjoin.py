@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from driftline.runtime import col, cut, lookup_salted
 
-RECALL = 0.9995
+RECALL = 0.99998
 HEAD = 256
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
