@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.llm.components import artifact, components, linked_records
 
@@ -48,7 +49,7 @@ def test_artifact_spellings(spark):
     same = [
         "https://x.example/o/r/pull/7", "http://www.X.example/O/R/pull/7/files?w=1#d", " https://x.example/o/r/pull/7.diff/ \n", "https://api.x.example/repos/o/r/pulls/7", "https://x.example/o/r.git/pull/7 ?tab=1",
     ]
-    rows = spark.createDataFrame([(u,) for u in [*same, "https://x.example/o/r/issues/7", f"https://x.example/o/r/commit/{sha}.patch", None, "  ", "Odd Text/"]], "u string").select(artifact(__import__("pyspark.sql.functions").sql.functions.col("u")).alias("a")).collect()
+    rows = spark.createDataFrame([(u,) for u in [*same, "https://x.example/o/r/issues/7", f"https://x.example/o/r/commit/{sha}.patch", None, "  ", "Odd Text/"]], "u string").select(artifact(F.col("u")).alias("a")).collect()
     got = [r.a for r in rows]
     assert set(got[:5]) == {"x.example/o/r/pull/7"} and got[5:] == ["x.example/o/r/issue/7", f"x.example/o/r/commit/{sha}", None, None, "odd text"]
 
