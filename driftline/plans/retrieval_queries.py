@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import text as X
@@ -15,7 +15,7 @@ from driftline.operators import ranking as R
 from driftline.operators import retrieval as T
 from driftline.operators import statements as S
 from driftline.operators import symbols as Y
-from driftline.plans.common import PATHS, RANKED_FILES, STATEMENTS, files_sql, ranked_files, ranked_statements, side_files, statements, strip_sql, tidy_sql
+from driftline.plans.common import RANKED_FILES, STATEMENTS, files_sql, ranked_files, ranked_statements, side_files, statements, strip_sql, tidy_sql
 from driftline.plans.text_queries import _PT, _TOK, _TOK3
 from driftline.runtime import table
 
