@@ -65,23 +65,25 @@ def layout(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Per file (``keys``, the last of which is the path): the sums its layout is judged by."""
     t = col(text)
     size = F.length(t)
-    white = size - F.length(F.regexp_replace(t, r"\s", ""))
-    word = F.length(F.regexp_replace(t, r"[^A-Za-z0-9]", ""))
-    numbers = F.size(F.regexp_extract_all(t, F.lit(r"\b(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)\b"), F.lit(0)))
-    besides = F.length(F.regexp_replace(t, r"\b(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)[uUlL]*\b|[\s,;{}\[\]()]", ""))
-    long_digits = size - F.length(F.regexp_replace(t, r"(?:0[xX])?[0-9a-fA-F]{12,}", ""))
+    of_size = lambda least, c: F.when(size >= least, c)  # noqa: E731 - short lines can't reach the counts asked for below
+    white = size - F.length(F.translate(t, " \t\n\r\f\x0b", ""))
+    word = of_size(60, F.length(F.regexp_replace(t, r"[^A-Za-z0-9]", "")))
+    numbers = of_size(15, F.size(F.regexp_extract_all(t, F.lit(r"\b(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)\b"), F.lit(0))))
+    besides = F.when(numbers >= 8, F.length(F.regexp_replace(t, r"\b(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)[uUlL]*\b|[\s,;{}\[\]()]", "")))
+    long_digits = of_size(40, size - F.length(F.regexp_replace(t, r"(?:0[xX])?[0-9a-fA-F]{12,}", "")))
     runs = F.regexp_extract_all(t, F.lit(rf"(?:[A-Za-z0-9+/=_-]{{{RUN},}}|(?:\\x?[0-9a-fA-F]{{2,3}}){{20,}}|(?:%[0-9A-Fa-f]{{2}}){{30,}})"), F.lit(0))
-    encoded = F.aggregate(runs, F.lit(0), lambda a, r: a + F.length(r))
-    numeric = (numbers >= 8) & (_share(besides, size - white) <= 0.1)
-    record = (_share(long_digits, size) >= 0.6) & (size >= 40)
-    data = F.when(numeric | record, size).when(_share(encoded, size) >= 0.5, size).otherwise(0)
+    encoded = of_size(RUN, F.aggregate(runs, F.lit(0), lambda a, r: a + F.length(r)))
+    numeric = _share(besides, size - white) <= 0.1
+    data = F.when(numeric, size).when(_share(long_digits, size) >= 0.6, size).when(_share(encoded, size) >= 0.5, size).otherwise(0)
     language = _language(col(keys[-1]))
     dense = (size >= _by_language(language, MINIFIED, 0)) & (_share(white, size) <= _by_language(language, MINIFIED, 1)) & (_share(word, size) <= 0.85)
     said = F.when(t.rlike(COMMENT), t)
+    lines = lines.select(
+        *[col(k) for k in keys], size.alias("size"), data.alias("data"), dense.alias("dense"), said.rlike(GENERATED).alias("gen"), said.rlike(COPIED).alias("cop")
+    )
     return lines.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(size).alias("chars"), F.max(size).alias("longest"), F.sum(white).alias("white"), F.sum(word).alias("alnum"), F.sum(numbers).alias("numbers"),
-        F.sum(data).alias("data_chars"), F.max(encoded).alias("encoded"), F.sum(F.when(dense & (data == 0), size).otherwise(0)).alias("dense_chars"),
-        F.max(said.rlike(GENERATED)).alias("says_generated"), F.max(said.rlike(COPIED)).alias("says_copied"),
+        F.count(F.lit(1)).alias("lines"), F.sum("size").alias("chars"), F.max("size").alias("longest"), F.avg("size").alias("mean_length"), F.sum("data").alias("data_chars"),
+        F.sum(F.when(F.col("dense") & (F.col("data") == 0), F.col("size")).otherwise(0)).alias("dense_chars"), F.max("gen").alias("says_generated"), F.max("cop").alias("says_copied"),
     )
 
 

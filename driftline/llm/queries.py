@@ -70,8 +70,8 @@ def _machine_files(spark: SparkSession, d: str) -> DataFrame:
     sides = table(spark, d, "sides").select("side_id", F.coalesce(F.concat(F.col("pair_index").cast("string"), F.lit("\t"), "role"), F.concat(F.lit("side\t"), "side_id")).alias("owner"), "file_names").dropDuplicates(["side_id"])
     shown = table(spark, d, "patch_statements").select(F.concat(F.col("pair_index").cast("string"), F.lit("\t"), "side").alias("owner"), "path", "text").filter("owner is not null")
     files = sides.select("owner", F.explode("file_names").alias("path")).unionByName(shown.select("owner", "path").distinct())
-    # Lines are summed up per file before a pair's many lines meet its side.
-    return lookup_salted(machine_files(files, shown, ["owner"], "path", "text"), sides.select("owner", "side_id"), "owner", "inner").select("side_id", "path", "reason")
+    # Lines are summed up per file before a pair's many lines meet its side; the found files are kept, as the lookup reads them twice.
+    return lookup_salted(cut(machine_files(files, shown, ["owner"], "path", "text")), sides.select("owner", "side_id"), "owner", "inner").select("side_id", "path", "reason")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
