@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.runtime import col, fresh, lookup_salted
+from driftline.runtime import col, cut, fresh, lookup_salted
 
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FOLD_BYTES = 96
@@ -223,10 +223,13 @@ def encode_corpus(df: DataFrame, text: str, path: str | None = None, ids: str =
     rows = df.withColumn(key, F.when(F.length(col(text)) > 0, F.unhex(F.md5(F.encode(col(text), "UTF-8")))))
     # Hot texts count once: places are those of distinct texts, and stay partitioned by them.
     texts = rows.filter(col(key).isNotNull()).groupBy(col(key).alias("k")).agg(F.first(col(text)).alias("t"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # a small input: adaptive execution would leave all its texts to one task
+        texts = texts.repartition(2 * cores, "k")
     places = texts.select("k", F.posexplode(F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))).alias("pos", "word"))
     known = F.broadcast(t.words(df.sparkSession))
     whole = places.join(known, "word").select("k", "pos", F.array("id").alias("part"))
-    odd = places.join(known, "word", "left_anti")
+    odd = cut(places.join(known, "word", "left_anti"))
     words = odd.select("word").distinct()
     n = F.octet_length("word")
     coded = words.filter(n <= FOLD_BYTES).select("word", t.fold(F.col("word")).alias("part")).unionByName(
