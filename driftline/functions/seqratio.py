@@ -8,6 +8,7 @@ set conditions have let through.
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -48,6 +49,46 @@ def token_similarity(a: Column, b: Column) -> Column:
     return 0.55 * ratio(strip(a), strip(b)) + 0.45 * jaccard(tokens(a, TOKEN_ALL), tokens(b, TOKEN_ALL), 1.0)
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("similarity", T.DoubleType())])))
+def most_similar(lines: pd.Series, others: pd.Series) -> pd.Series:
+    """For each of ``lines`` the place (from 0) of the most :func:`token_similarity` text of ``others`` and that similarity.
+
+    The first of equally similar ones counts; null without others. Texts whose upper bound is below the best
+    one found are not compared by sequence, which changes no result.
+    """
+    bags: dict[str, frozenset[str]] = {}
+
+    def bag(x: str) -> frozenset[str]:
+        if x not in bags:
+            bags[x] = frozenset(re.findall(TOKEN_ALL, x.lower()))
+        return bags[x]
+
+    matcher, out = SequenceMatcher(), []
+    for ls, os in zip(lines, others, strict=True):
+        sources = [(i, o.strip(), bag(o)) for i, o in enumerate(os)]
+        found = []
+        for line in ls:
+            y, b = line.strip(), bag(line)
+            matcher.set_seq2(y)
+            bounded = []
+            for i, x, a in sources:
+                union = len(a | b)
+                j = 0.45 * (len(a & b) / union if union else 1.0)
+                size = len(x) + len(y)
+                bounded.append((0.55 * (2.0 * min(len(x), len(y)) / size if size else 1.0) + j, -i, j, x))
+            bounded.sort(reverse=True)
+            best = (-1.0, 0)
+            for bound, i, j, x in bounded:
+                if bound < best[0]:
+                    break
+                matcher.set_seq1(x)
+                if 0.55 * matcher.quick_ratio() + j >= best[0]:
+                    best = max(best, (0.55 * matcher.ratio() + j, i))
+            found.append({"at": -best[1], "similarity": best[0]} if bounded else None)
+        out.append(found)
+    return pd.Series(out, dtype="object")
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """.55 ratio of the lower-cased texts + .45 :func:`token_similarity`."""
     return 0.55 * ratio(F.lower(a), F.lower(b)) + 0.45 * token_similarity(a, b)

@@ -2,55 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.seqratio import name_similarity, token_similarity
+from driftline.functions.paths import basename, token_jaccard
+from driftline.functions.seqratio import most_similar, name_similarity
 from driftline.functions.text import TOKEN_ALL, jaccard, meaningful, pattern_score, strip, tokens
 from driftline.operators.ranking import top_k
 from driftline.runtime import fan_out
 
 
 def comparable(statements: DataFrame, files: DataFrame, limit: int = 120, key: str = "pair_index") -> DataFrame:
-    """Per target file the source statements to compare with: those of the same path, else of the same name; deleted first.
+    """Per target file the source statements to compare with: those of the same path, else of the same name, else all of the key.
 
-    (key, path, source_path, source_line, source_kind, source_text)
-    """
-    from driftline.functions.paths import basename
+    Deleted ones come first; of all statements of the key those whose paths share
+    most tokens with the file's or its source's path. ``place`` is the order.
 
-    kind = F.when(F.col("kind") == "deleted", 0).when(F.col("kind") == "context", 1).otherwise(2)
-    s = statements.select(key, F.col("path").alias("source_path"), F.col("line_no").alias("source_line"), F.col("kind").alias("source_kind"), F.col("text").alias("source_text"), kind.alias("prio"))
-    f = files.select(key, "path", F.coalesce("matched_source_path", "path").alias("matched"))
-    same = s.join(f, (s[key] == f[key]) & (s.source_path == f.matched)).select(f[key], "path", *s.columns[1:], F.lit(0).alias("tier"))
-    named = s.withColumn("n", basename(F.col("source_path"))).join(f.withColumn("n", basename(F.col("path"))), [key, "n"]).select(key, "path", *s.columns[1:], F.lit(1).alias("tier"))
-    best = same.unionByName(named)
-    tier = best.groupBy(key, "path").agg(F.min("tier").alias("tier"))
-    return top_k(best.join(tier, [key, "path", "tier"]), [key, "path"], [F.col("prio"), F.col("source_line"), F.col("source_text")], limit).drop("rank", "prio", "tier")
+    (key, path, source_path, source_line, source_kind, source_text, place)
+    """
+    prio = F.when(F.col("kind") == "deleted", 0).when(F.col("kind") == "context", 1).otherwise(2)
+    first = F.col("ord") if "ord" in statements.columns else F.lit(0)
+    s = statements.filter("text is not null").select(key, F.col("path").alias("source_path"), F.col("line_no").alias("source_line"), F.col("kind").alias("source_kind"), F.col("text").alias("source_text"), prio.alias("prio"), first.alias("first"))
+    f = files.select(key, "path", F.coalesce("matched_source_path", "path").alias("matched")).distinct()
+    name = basename(F.col("source_path"))
+    tier = F.when(F.col("source_path") == F.col("matched"), 0).when((name == basename(F.col("matched"))) | (name == basename(F.col("path"))), 1).otherwise(2)
+    w = Window.partitionBy(key, "path")
+    best = s.join(f, key).withColumn("tier", tier).withColumn("least", F.min("tier").over(w)).filter("tier = least")
+    near = F.greatest(token_jaccard(F.col("source_path"), F.col("matched")), token_jaccard(F.col("source_path"), F.col("path")))
+    loose = F.col("tier") == 2
+    order = [F.when(loose, -near).otherwise(0.0), F.col("prio"), F.when(loose, F.col("first")), F.col("source_line"), F.col("source_text"), F.col("source_path")]
+    return top_k(best, [key, "path"], order, limit, "place").select(key, "path", "source_path", "source_line", "source_kind", "source_text", "place")
 
 
 def best_statement(lines: DataFrame, sources: DataFrame, key: str = "pair_index") -> DataFrame:
-    """Each target line with its most similar source statement.
+    """Each target line with its most similar source statement, of equal ones the first in place.
 
-    Only pairs that share a token are compared by sequence: others can't win
-    unless nothing shares one. Equal text pairs are scored once.
+    Every line of a file is held against every statement of the file: one that
+    shares no token may win, too. Both travel as one row per file, so that their
+    product is never shuffled.
     """
     a = lines.filter(meaningful(F.col("text"))).select(key, "path", "line", F.col("text").alias("line_text"))
-    pairs = a.join(sources.select(key, "path", "source_path", "source_line", "source_text"), [key, "path"])
-    near = pairs.filter(F.arrays_overlap(tokens(F.col("line_text"), TOKEN_ALL), tokens(F.col("source_text"), TOKEN_ALL)))
-    scored = fan_out(near.select("line_text", "source_text").distinct()).withColumn("similarity", F.round(token_similarity(F.col("source_text"), F.col("line_text")), 6))
-    return (
-        near.join(scored, ["line_text", "source_text"])
-        .groupBy(key, "path", "line", "line_text")
-        .agg(F.max_by(F.struct("source_path", "source_line", "source_text", "similarity"), F.struct(F.col("similarity"), (-F.col("source_line")).alias("l"))).alias("b"))
-        .select(key, "path", "line", "line_text", "b.*")
-    )
+    a = a.groupBy(key, "path").agg(F.collect_list(F.struct("line", "line_text")).alias("ls"))
+    b = sources.groupBy(key, "path").agg(F.array_sort(F.collect_list(F.struct("place", "source_path", "source_line", "source_text"))).alias("ss"))
+    found = fan_out(a.join(b, [key, "path"])).withColumn("b", most_similar(F.col("ls.line_text"), F.col("ss.source_text")))
+    each = found.select(key, "path", "ss", F.explode(F.arrays_zip("ls", "b")).alias("x"))
+    return each.select(key, "path", "x.ls.line", "x.ls.line_text", F.get("ss", F.col("x.b.at")).alias("s"), F.col("x.b.similarity").alias("similarity")).select(key, "path", "line", "line_text", "s.source_path", "s.source_line", "s.source_text", "similarity")
 
 
 def rank_statements(lines: DataFrame, sources: DataFrame, files: DataFrame, k: int, key: str = "pair_index") -> DataFrame:
     """.70 best statement similarity + .30 file score; order (-score, path, line)."""
     best = best_statement(lines, sources, key).join(files.select(key, "path", F.col("score").alias("file_score")), [key, "path"])
     score = F.round(0.70 * F.col("similarity") + 0.30 * F.col("file_score"), 6)
-    return top_k(best.withColumn("score", score), [key], [F.col("score").desc(), F.col("path"), F.col("line")], k)
+    return top_k(best.withColumn("score", score).withColumn("similarity", F.round("similarity", 6)), [key], [F.col("score").desc(), F.col("path"), F.col("line")], k)
 
 
 def symbol_scores(sources: DataFrame, targets: DataFrame, pattern: Column, key: str = "pair_index") -> DataFrame:

@@ -278,7 +278,7 @@ def line_ranking(spark, d):
     best = ranked_files(spark, d).filter("method = 'agent' and rank <= 5")
     matched = table(spark, d, "target_files").groupBy("pair_index", "path").agg(F.min("matched_source_path").alias("matched_source_path"))
     files = best.join(matched, ["pair_index", "path"], "left").select("pair_index", "path", "score", "matched_source_path")
-    sources = S.comparable(statements(spark, d).filter("side = 'Source'"), files, 40)
+    sources = S.comparable(statements(spark, d).filter("side = 'Source'"), files)
     return S.rank_statements(lines.join(files.select("pair_index", "path"), ["pair_index", "path"], "left_semi"), sources, files, 10)
 
 
