@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.paths import path_tokens
 from driftline.functions.seqratio import name_similarity, token_similarity
-from driftline.functions.text import TOKEN_ALL, TOKEN_WORD, contains_any, jaccard, pattern_score, tokens
+from driftline.functions.text import TOKEN_ALL, TOKEN_WORD, contains_any, jaccard, pattern_score, strip, tokens
 from driftline.operators.ranking import top_k
 from driftline.runtime import fan_out
 
@@ -57,13 +57,24 @@ def intent_blocks(intents: DataFrame, symbols: DataFrame, pattern: Column, per_f
     return per.select(key, "path", "block", "start", "end", F.round(F.col("best") + 0.12 * F.col("deletes"), 6).alias("block_score"), "intents")
 
 
-def statement_evidence(predicted: DataFrame, deleted: DataFrame, threshold: float = 0.68, key: str = "pair_index") -> DataFrame:
-    """Predicted statements with the most similar line a later change deletes in the same file, from ``threshold`` on."""
-    pairs = predicted.select(key, "path", "line", "line_text").join(deleted.select(key, "path", F.col("line_no").alias("deleted_line"), F.col("text").alias("deleted_text")), [key, "path"])
-    near = pairs.filter(F.arrays_overlap(tokens(F.col("line_text"), TOKEN_ALL), tokens(F.col("deleted_text"), TOKEN_ALL)))
-    scored = fan_out(near.select("line_text", "deleted_text").distinct()).withColumn("similarity", F.round(token_similarity(F.col("line_text"), F.col("deleted_text")), 6))
-    best = near.join(scored, ["line_text", "deleted_text"]).filter(F.col("similarity") >= threshold)
-    return top_k(best, [key, "path", "line"], [F.col("similarity").desc(), F.col("deleted_line"), F.col("deleted_text")], 1).drop("rank")
+def statement_evidence(predicted: DataFrame, deleted: DataFrame, threshold: float = 0.68, key: str = "pair_index", salts: int = 8) -> DataFrame:
+    """Predicted statements with the most similar line a later change deletes in whichever file, from ``threshold`` on.
+
+    Distinct texts of a key meet; only those whose tokens and lengths let them reach
+    the threshold are compared by sequence. A busy key is spread over ``salts``.
+    """
+    p = predicted.select(key, "path", "line", "line_text")
+    d = deleted.filter(F.length("text") >= 4).select(key, F.col("path").alias("deleted_path"), F.col("line_no").alias("deleted_line"), F.col("text").alias("deleted_text"))
+    # The first place of a text is enough: equal texts are equally similar.
+    first = d.groupBy(key, "deleted_text").agg(F.min(F.struct("deleted_line", "deleted_path")).alias("at")).withColumn("b", tokens(F.col("deleted_text"), TOKEN_ALL)).withColumn("nb", F.length(strip(F.col("deleted_text"))))
+    texts = p.select(key, "line_text").distinct().withColumn("a", tokens(F.col("line_text"), TOKEN_ALL)).withColumn("na", F.length(strip(F.col("line_text"))))
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("line_text"), F.lit(salts)).cast("int"))
+    pairs = salted.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "salt"])
+    bound = 0.55 * 2.0 * F.least("na", "nb") / (F.col("na") + F.col("nb")) + 0.45 * jaccard(F.col("a"), F.col("b"), 1.0)
+    near = pairs.filter((F.col("na") > 0) & (bound >= threshold - 1e-9)).select(key, "line_text", "deleted_text", "at")
+    scored = fan_out(near.select("line_text", "deleted_text").distinct()).withColumn("similarity", token_similarity(F.col("line_text"), F.col("deleted_text"))).filter(F.col("similarity") >= threshold)
+    best = near.join(scored, ["line_text", "deleted_text"]).groupBy(key, "line_text").agg(F.min(F.struct((-F.round("similarity", 6)).alias("s"), F.col("at"), F.col("deleted_text"))).alias("m"))
+    return p.join(best, [key, "line_text"]).select(key, "path", "line", "line_text", F.col("m.at.deleted_path").alias("deleted_path"), F.col("m.at.deleted_line").alias("deleted_line"), F.col("m.deleted_text").alias("deleted_text"), (-F.col("m.s")).alias("similarity"))
 
 
 # Weights of statement modules.
