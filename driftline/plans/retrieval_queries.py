@@ -9,6 +9,7 @@ from driftline.functions import text as X
 from driftline.functions import vectors as V
 from driftline.functions.paths import tidy
 from driftline.operators import diff as D
+from driftline.operators import evidence as E
 from driftline.operators import history as H
 from driftline.operators import judge as J
 from driftline.operators import ranking as R
@@ -320,6 +321,32 @@ def history_score(spark, d):
     return j.select("pair_index", score.alias("score")).filter("score >= 0.1")
 
 
+def later_change_scores(spark, d):
+    """The whole score of a pair's downstream side as a later change: predicted files and statements, patch lines, messages.
+
+    ``history_score`` is the narrower form that its SQL states: file sets, titles and file hits alone.
+    """
+    side = table(spark, d, "sides").groupBy("pair_index", "role").agg(F.min_by(F.struct("title", "body", "message"), "side_id").alias("x"))
+    source = side.filter("role = 'Source'").select("pair_index", X.message_words(F.concat_ws(" ", "x.title", "x.body", "x.message")).alias("x"))
+    target = side.filter("role = 'Infestor'").select("pair_index", X.message_words(F.regexp_extract(F.coalesce("x.message", F.lit("")), r"\A[^\r\n]*", 0)).alias("y"))
+    files = lambda df, n: df.groupBy("pair_index").agg(F.collect_set("path").alias(n))
+    pred = ranked_files(spark, d).filter("method = 'agent' and rank <= 20")
+    s = statements(spark, d).filter("text is not null")
+    patch = E.directional_similarity(s.filter("side = 'Source'"), s.filter("side = 'Infestor'")).select("pair_index", F.col("similarity").alias("patch"))
+    top = ranked_statements(spark, d).filter("method = 'agent' and rank <= 100").select("pair_index", "path", "line")
+    text = table(spark, d, "target_statements").filter("method = 'agent'").groupBy("pair_index", "path", "line").agg(F.min("line_text").alias("line_text"))
+    lines = top.join(text, ["pair_index", "path", "line"])
+    found = E.statement_evidence(lines.dropna(), s.filter("side = 'Infestor' and kind = 'deleted'")).groupBy("pair_index").agg(F.count(F.lit(1)).alias("hits"))
+    n = lines.groupBy("pair_index").agg(F.count(F.lit(1)).alias("n"))
+    j = source.join(target, "pair_index")
+    for more in (files(pred, "a"), files(_targets(spark, d), "b"), patch, found, n):
+        j = j.join(more, "pair_index", "left")
+    none = F.array().cast("array<string>")
+    j = j.na.fill(0, ["hits", "n"]).na.fill(0.0, ["patch"])
+    score = H.later_change_score(H.overlap_coefficient(F.coalesce("a", none), F.coalesce("b", none)), F.col("patch"), X.jaccard(F.col("x"), F.col("y")), F.col("hits"), F.col("n"))
+    return j.select("pair_index", score.alias("score")).filter("score >= 0.1")
+
+
 _MWT = r"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(title, ''), '[A-Za-z_][A-Za-z0-9_]{2,}|\d+'), lambda x: lower(x))), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "))"
 SQL_HISTORY_SCORE = f"""
 WITH s AS (SELECT pair_index, list(path) a FROM {_S} GROUP BY 1), t AS (SELECT pair_index, list(path) b FROM {_T} GROUP BY 1), m AS (SELECT DISTINCT pair_index, role, {_MWT} w FROM sides),
@@ -395,6 +422,7 @@ QUERIES = {
     "asof_snapshot": (asof_snapshot, SQL_ASOF),
     "history_scan": (history_scan, SQL_SCAN),
     "history_score": (history_score, SQL_HISTORY_SCORE),
+    "later_change_scores": (later_change_scores, None),
     "resume_pending": (resume_pending, "SELECT DISTINCT pair_index FROM target_files ANTI JOIN target_statements USING (pair_index)"),
     "judged_files": (judged_files, None),
     "search_traces": (search_traces, SQL_TRACE),
