@@ -93,6 +93,14 @@ c AS (SELECT doc_id, other_id, nq, nd, count(*) c FROM q JOIN e USING (x) GROUP
 SELECT doc_id, other_id, round(0.6::DOUBLE * (2.0::DOUBLE * c / (nq + nd)) + 0.4::DOUBLE * (c / (nq + nd - c)), 6) score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id)::INT AS rank FROM c QUALIFY rank <= 5"""
 
 
+def clone_retrieval_all(spark, d):
+    """The five documents of any kind most alike by code tokens to every document whose id is divisible by 50."""
+    docs = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", "text")
+    # A document may be its own nearest: one more is asked for and the document itself left out.
+    near = T.clone_topk(docs.filter("doc_id % 50 = 0"), docs.select(F.col("doc_id").alias("other_id"), "text"), "doc_id", "other_id", 6).filter("doc_id <> other_id").drop("rank")
+    return R.top_k(near, ["doc_id"], [F.col("score").desc(), F.col("other_id")], 5)
+
+
 def chunk_counts(spark, d):
     """Chunks of every document: lines, then windows of 3 and 6 lines."""
     docs = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", "text")
@@ -398,6 +406,7 @@ QUERIES = {
     "auxiliary_files": (auxiliary_files, SQL_AUX),
     "judgement_records": (judgement_records, SQL_JUDGEMENTS),
     "clone_retrieval": (clone_retrieval, SQL_CLONE),
+    "clone_retrieval_all": (clone_retrieval_all, None),
     "chunk_counts": (chunk_counts, None),
     "chunk_retrieval": (chunk_retrieval, None),
     "path_score_topk": (path_score_topk, None),
