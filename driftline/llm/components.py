@@ -1,17 +1,20 @@
 """Groups of records that are linked directly or through others.
 
-The graph is contracted before it is solved. In every round
-
-1. rake: vertices with one neighbour are removed and point to it. The one
-   neighbour is an aggregate of the vertex's edges, and an edge is dropped by
-   its pair of ends, so a hub that holds a third of all edges is never the key
-   of a join;
-2. compress: maximal runs of vertices with two neighbours become one edge. The
-   ends of a run are found by list ranking: every arc into such a vertex points
-   to the arc that leaves it, and pointers are doubled until they reach a
-   vertex of another degree. Every pointer has one target, so no key is hot.
-
-What remains (all degrees three or more) is the core. A core of at most
+The graph is contracted to a fixed point before it is solved. Every round reads
+one table of degrees and
+
+1. strips vertices with one neighbour, and
+2. compresses maximal runs of vertices with two neighbours. The ends of a run
+   are found by list ranking: every arc into such a vertex points to the arc
+   that leaves it, and pointers are doubled until they reach a vertex of
+   another degree. A run between two vertices of the core becomes one edge;
+   one that hangs on the core or stands alone goes together with its leaf.
+
+A removed vertex points to a vertex that outlives the round. Arcs are joined by
+both their ends and edges are dropped by both their ends, so that a hub which
+holds a third of all edges is never the key of a join.
+
+What remains when no vertex has fewer than three neighbours is the core. A core of at most
 ``core_limit`` edges is solved by union-find in one task, a size that is
 counted first; a larger one by large-star/small-star rounds. Then the labels
 are given back to the removed vertices, in reverse order of their removal.
@@ -41,52 +44,49 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
 
 
-def _rake(edges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(removed vertices with their one neighbour, the edges that stay)."""
-    leaves = degrees.filter("d = 1").select("v", F.col("lo").alias("p"))
-    # Two vertices that have only each other: the smaller one stays as the root.
-    both = leaves.join(leaves.select(F.col("v").alias("p"), F.col("p").alias("v")), ["v", "p"], "left_semi").filter("v < p").select("v")
-    removed = leaves.join(both, "v", "left_anti")
-    stay = edges.join(removed.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")), ["a", "b"], "left_anti")
-    return removed, stay
-
+def _rank_runs(low: DataFrame) -> DataFrame:
+    """(x, v, t, leaf, ended, least) of every arc x -> v into a vertex of degree one or two: where its run leads.
 
-def _compress(edges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(removed vertices with a vertex of their run's end, the edges that stay and the new ones, how many were removed)."""
-    inner = degrees.filter("d = 2").select("v", "lo", "hi")
-    # The arc (x -> v) continues as (v -> the other neighbour of v).
-    arcs = inner.select(
-        F.explode(F.array(
-            F.struct(F.col("lo").alias("x"), "v", F.col("hi").alias("nx")),
-            F.struct(F.col("hi").alias("x"), "v", F.col("lo").alias("nx")),
-        )).alias("e")
-    ).select("e.x", "e.v", F.col("e.v").alias("tx"), F.col("e.nx").alias("tv"), F.least("e.v", "e.x").alias("low"))
+    ``t`` is the vertex behind the run's last inner vertex, or the leaf it ends
+    in; rings never end and have the ring's least vertex in ``least``.
+    """
+    arc = lambda x, v, t, done: F.struct(F.col(x).alias("x"), F.col(v).alias("v"), F.col(v).alias("tx"), F.col(t).alias("t"), F.lit(done).alias("leaf"), F.lit(done).alias("ended"))
+    arcs = low.select(F.explode(F.when(F.col("d") == 1, F.array(arc("lo", "v", "v", True))).otherwise(F.array(arc("lo", "v", "hi", False), arc("hi", "v", "lo", False)))).alias("e")).select("e.*", F.least("e.x", "e.v").alias("least"))
     arcs = cut(arcs)
-    n = arcs.count() // 2
-    if not n:
-        return inner.select("v", F.col("lo").alias("p")), edges, 0
-    for _ in range(int(np.ceil(np.log2(n + 1))) + 1):
-        # (tx -> tv) is the arc reached so far; if tv is an inner vertex its own pointer is followed.
-        nxt = arcs.select(F.col("x").alias("tx"), F.col("v").alias("tv"), F.col("tx").alias("fx"), F.col("tv").alias("fv"), F.col("low").alias("flow"))
-        stepped = arcs.join(nxt, ["tx", "tv"], "left").select(
-            "x", "v", F.coalesce("fx", "tx").alias("tx"), F.coalesce("fv", "tv").alias("tv"), F.least("low", "flow").alias("low"), F.col("fv").isNotNull().alias("moved")
+    while True:
+        # (tx -> t) is the arc reached so far: if it is known, its own pointer is followed.
+        nxt = arcs.select(F.col("x").alias("tx"), F.col("v").alias("t"), F.col("tx").alias("fx"), F.col("t").alias("ft"), F.col("leaf").alias("fleaf"), F.col("ended").alias("fended"), F.col("least").alias("fleast"))
+        open_arcs = arcs.filter("not ended")
+        stepped = open_arcs.join(nxt, ["tx", "t"], "left").select(
+            "x", "v", F.coalesce("fx", "tx").alias("tx"), F.coalesce("ft", "t").alias("t"), F.coalesce("fleaf", "leaf").alias("leaf"),
+            F.coalesce("fended", F.lit(True)).alias("ended"), F.least("least", "fleast").alias("least"), (F.col("fended").isNull() | F.col("fended") | (F.col("fleast") < F.col("least"))).alias("news"),
         )
         stepped = cut(stepped)
-        moved = stepped.filter("moved").count()
-        arcs = stepped.drop("moved")
-        if not moved:
-            break
-    # Arcs that still move belong to closed rings of inner vertices; their lowest vertex stays as the root.
-    ends = arcs.join(inner.select(F.col("v").alias("tv"), F.lit(True).alias("ring")), "tv", "left")
-    per = ends.groupBy("v").agg(
-        F.min("low").alias("low"), F.max(F.coalesce("ring", F.lit(False))).alias("ring"), F.min("tv").alias("t1"), F.max("tv").alias("t2")
+        # In a run some arc ends at every doubling, in a ring some arc learns of a lower vertex, or all is known.
+        going = stepped.filter("news").count()
+        arcs = arcs.filter("ended").unionByName(stepped.drop("news"))
+        if not going:
+            return arcs
+        arcs = cut(arcs)
+
+
+def _contract(edges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: (removed vertices with the surviving vertex they point to, the edges that stay)."""
+    low = degrees.filter("d <= 2")
+    arcs = cut(_rank_runs(low))
+    ends = arcs.filter("v <> t or not leaf").groupBy("v").agg(
+        F.max(F.when(~F.col("leaf") & F.col("ended"), F.col("t"))).alias("core"), F.min(F.when(~F.col("leaf") & F.col("ended"), F.col("t"))).alias("other"),
+        F.min(F.when(F.col("leaf"), F.col("t"))).alias("tip"), F.min(F.when(~F.col("ended"), F.col("least"))).alias("ring"), F.count_if(~F.col("leaf") & F.col("ended")).alias("cores"),
     )
-    per = cut(per)
-    removed = per.select("v", F.when(F.col("ring"), F.col("low")).otherwise(F.col("t1")).alias("p")).filter("v <> p")
-    new = _pairs(per.filter("not ring"), "t1", "t2")
-    gone = inner.select(F.col("v"), F.explode(F.array("lo", "hi")).alias("o")).select(F.least("v", "o").alias("a"), F.greatest("v", "o").alias("b")).distinct()
-    stay = edges.join(gone, ["a", "b"], "left_anti").unionByName(new).distinct()
-    return removed, stay, n
+    ends = cut(ends)
+    inner = ends.select("v", F.coalesce("ring", "core", "tip").alias("p"))
+    # Where a leaf's only edge leads: behind the run that begins there, or to the neighbour itself.
+    beyond = arcs.select(F.col("x").alias("v"), F.col("v").alias("lo"), "t", "leaf")
+    leaves = low.filter("d = 1").select("v", "lo").join(beyond, ["v", "lo"], "left").select("v", F.when(F.col("leaf"), F.least("v", "t")).otherwise(F.coalesce("t", "lo")).alias("p"))
+    removed = inner.unionByName(leaves).filter("v <> p")
+    gone = low.select("v", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("o")).select(F.least("v", "o").alias("a"), F.greatest("v", "o").alias("b")).distinct()
+    stay = edges.join(gone, ["a", "b"], "left_anti").unionByName(_pairs(ends.filter("cores = 2"), "core", "other")).distinct()
+    return removed, stay
 
 
 def _union_find(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -132,7 +132,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")).join(labels.select("v"), "v", "left_anti"))
 
 
-def components(edges: DataFrame, a: str, b: str, core_limit: int = CORE_LIMIT, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, core_limit: int = CORE_LIMIT) -> DataFrame:
     """(v, label) for every vertex of the BIGINT pairs (a, b): label is equal exactly within a connected group.
 
     A pair with a null end links nothing and is left out; a vertex whose only
@@ -140,52 +140,37 @@ def components(edges: DataFrame, a: str, b: str, core_limit: int = CORE_LIMIT, m
     count once; an empty input gives an empty result; extra columns are
     ignored. The label is some vertex of the group.
     """
-    given = edges.select(F.col(a).cast("bigint").alias("x"), F.col(b).cast("bigint").alias("y")).dropna()
-    loops = given.filter("x = y").select(F.col("x").alias("v")).distinct()
+    given = cut(edges.select(F.col(a).cast("bigint").alias("x"), F.col(b).cast("bigint").alias("y")).dropna())
     live = cut(_pairs(given, "x", "y"))
-    inputs = live
     left = live.count()
     levels: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if not left:
+    while left:
+        degrees = cut(_degrees(live))
+        if degrees.filter("d <= 2").isEmpty():
             break
-        removed, stay = _rake(live, _degrees(live))
+        removed, stay = _contract(live, degrees)
         levels.append(cut(removed))
         live = cut(stay)
-        now = live.count()
-        n = 0
-        if now:
-            removed, stay, n = _compress(live, cut(_degrees(live)))
-            if n:
-                levels.append(cut(removed))
-                live = cut(stay)
-                now = live.count()
-        # Contraction goes on as long as it pays; what is left is the core.
-        if now > 0.8 * left or (now <= core_limit and now < 0.5 * left):
-            left = now
-            break
-        left = now
-    if not left:
-        labels = None
-    elif left <= core_limit:
-        labels = live.coalesce(1).mapInPandas(_union_find, "v bigint, label bigint")
-    else:
-        labels = _stars(live)
+        left = live.count()
     # Roots: vertices that were never removed. Those outside the core label themselves.
-    every = inputs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    gone = None
-    for level in levels:
-        gone = level.select("v") if gone is None else gone.unionByName(level.select("v"))
-    roots = every if gone is None else every.join(gone, "v", "left_anti")
-    if labels is not None:
+    roots = given.select(F.explode(F.array("x", "y")).alias("v")).distinct()
+    if levels:
+        gone = levels[0].select("v")
+        for level in levels[1:]:
+            gone = gone.unionByName(level.select("v"))
+        roots = roots.join(gone, "v", "left_anti")
+    if left:
+        labels = live.coalesce(1).mapInPandas(_union_find, "v bigint, label bigint") if left <= core_limit else _stars(live)
         roots = roots.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
     else:
         roots = roots.withColumn("label", F.col("v"))
+    if not levels:
+        return roots
     known = cut(roots)
     for level in reversed(levels):
         back = lookup_salted(level.select("v", "p"), known.select(F.col("v").alias("p"), "label"), "p", "inner").select("v", "label")
         known = cut(known.unionByName(back))
-    return known.unionByName(loops.join(every, "v", "left_anti").withColumn("label", F.col("v")))
+    return known
 
 
 URL = r"(?s)^(?:[a-z][a-z+.-]*://)?(?:[^/@]*@)?(?:www\.|api\.)?([^/]+)/(?:repos/)?([^/]+)/([^/]+?)(?:\.git)?/(pull|issue|commit)s?/([0-9a-z]+).*$"
@@ -205,15 +190,17 @@ def artifact(url: Column) -> Column:
 def _abbreviations(names: DataFrame) -> DataFrame:
     """(short, full) of commit names where all longer names that begin with the short one begin with the next longer one.
 
-    Names meet within (repository, first seven digits), which two commits share
-    by chance alone. A name that abbreviates two different commits names itself.
+    Every name is met by its beginnings of those lengths that hashes have here
+    (at most 33, from 7 on). A name that abbreviates two different commits names itself.
     """
     sha = F.regexp_extract("name", r"/commit/([0-9a-f]{7,40})$", 1)
-    commits = names.select("name", sha.alias("sha")).filter("sha <> ''").withColumn("block", F.expr("substring(name, 1, length(name) - length(sha) + 7)"))
-    blocks = commits.groupBy("block").agg(F.array_sort(F.collect_list("name")).alias("all")).filter(F.size("all") > 1)
-    longer = F.filter("all", lambda x: (x != F.col("short")) & x.startswith(F.col("short")))
-    each = blocks.select("all", F.explode("all").alias("short")).withColumn("longer", longer).filter(F.size("longer") > 0).withColumn("full", F.get("longer", 0))
-    return each.filter(F.forall("longer", lambda x: x.startswith(F.col("full")))).select("short", "full")
+    commits = names.select("name", F.length(sha).alias("n")).filter("n > 0")
+    lengths = sorted(r["n"] for r in commits.select("n").distinct().collect())  # 7 to 40
+    shorter = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda i: i < F.col("n"))
+    begun = commits.select(F.col("name").alias("longer"), F.explode(F.transform(shorter, lambda i: F.expr("length(name)") - F.col("n") + i)).alias("at")).select("longer", F.expr("substring(longer, 1, at)").alias("name"))
+    met = begun.join(commits.select("name"), "name").groupBy(F.col("name").alias("short")).agg(F.min("longer").alias("full"), F.max("longer").alias("last"))
+    # What lies between two names that begin alike begins so too.
+    return met.filter(F.col("last").startswith(F.col("full"))).select("short", "full")
 
 
 def linked_records(df: DataFrame, record: str, urls: tuple[str, str], group: str = "group_id", core_limit: int = CORE_LIMIT) -> DataFrame:
@@ -221,18 +208,28 @@ def linked_records(df: DataFrame, record: str, urls: tuple[str, str], group: str
 
     Two records are linked if they name the same artifact in either url column
     (see :func:`artifact`); an abbreviated commit hash names the full one of its
-    repository. A null or blank url names nothing; a record without any name is
-    a group of its own. Null record ids link others but get no row. Repeated
-    rows count once; extra columns are ignored; empty in, empty out.
-    Vertices are 64-bit hashes of artifact names.
+    repository. A record may stand on several rows: it names what any of them
+    names. A null or blank url names nothing; a record without any name is
+    a group of its own. Rows of a null record id link what they name, each by itself, but get no row.
+    Repeated rows count once; extra columns are ignored; empty in, empty out.
+    Vertices are numbers given to the distinct artifact names.
     """
-    named = df.select(col(record).alias("r"), artifact(col(urls[0])).alias("s"), artifact(col(urls[1])).alias("t")).distinct()
-    names = named.select(F.explode(F.array("s", "t")).alias("name")).dropna().distinct()
-    edges = named.select(F.coalesce("s", "t").alias("x"), F.coalesce("t", "s").alias("y")).dropna().unionByName(_abbreviations(names).select(F.col("short").alias("x"), F.col("full").alias("y")))
-    labels = components(edges.select(F.xxhash64("x").alias("x"), F.xxhash64("y").alias("y")), "x", "y", core_limit)
-    keyed = named.select("r", F.xxhash64(F.coalesce("s", "t")).alias("v"), F.coalesce("s", "t").isNotNull().alias("has")).withColumn("v", F.when(F.col("has"), F.col("v")))
-    placed = cut(lookup_salted(keyed, labels, "v").select("r", "label"))
-    first = placed.filter("label is not null").groupBy("label").agg(F.min("r").alias("g"))
-    out = lookup_salted(placed, first, "label").select(F.coalesce("g", "r").alias(group), F.col("r").alias(record)).filter(col(record).isNotNull())
-    # One record id over several rows may stand in groups only if its rows differ; they share the smallest.
-    return out.groupBy(record).agg(F.min(group).alias(group)).select(group, record)
+    s, t = (artifact(col(u)) for u in urls)
+    rows = df.select(col(record).alias("r"), s.alias("s"), t.alias("t"))
+    key = F.when(F.col("r").isNotNull(), F.concat(F.lit("r"), F.col("r").cast("string"))).otherwise(F.concat_ws("\x01", F.lit("n"), "s", "t"))
+    named = cut(rows.select(key.alias("q"), "r", F.explode(F.array("s", "t")).alias("name")).distinct())
+    names = named.select("name").dropna().distinct()
+    ids = cut(names.withColumn("id", F.monotonically_increasing_id()))
+    given = cut(lookup_salted(named.dropna(subset=["name"]), ids, "name", "inner").select("q", "r", "id"))
+    # Every record keeps one of its artifacts, to which its others are tied; null where it names none.
+    every = given.unionByName(named.filter("name is null").select("q", "r", F.lit(None).cast("bigint").alias("id")))
+    own = cut(every.groupBy("q", "r").agg(F.min("id").alias("v")))
+    tied = lookup_salted(given.select("q", "id"), own.select("q", "v"), "q", "inner").select(F.col("v").alias("x"), F.col("id").alias("y"))
+    short = _abbreviations(ids).join(ids.select(F.col("name").alias("short"), F.col("id").alias("x")), "short").join(ids.select(F.col("name").alias("full"), F.col("id").alias("y")), "full")
+    labels = components(tied.unionByName(short.select("x", "y")), "x", "y", core_limit)
+    known = own.filter("v is not null").select("r", "v")
+    placed = cut(lookup_salted(known, labels, "v", "inner").select("r", "label"))
+    first = placed.groupBy("label").agg(F.min("r").alias("g"))
+    alone = own.filter("v is null").select(F.col("r").alias("g"), "r")
+    out = lookup_salted(placed, first, "label", "inner").select("g", "r").unionByName(alone)
+    return out.filter("r is not null").select(F.col("g").alias(group), F.col("r").alias(record))

@@ -85,4 +85,4 @@ P5_REASONS = f"SELECT reason, count(*) AS files FROM ({_machine_files()}) WHERE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_links": P4_LINKS, "p5_found": P5, "p5_reasons": P5_REASONS}
+    return {"p1_found": P1, "p3_found": P3, "p3_star_rounds": P3, "p4_found": P4, "p4_links": P4_LINKS, "p5_found": P5, "p5_reasons": P5_REASONS}

@@ -1,9 +1,12 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.llm.components import artifact, components, linked_records
+from driftline.llm.sql import P3
 
 
 def truth(edges):
@@ -66,3 +69,27 @@ def test_linked_records(spark):
     # the short abcdef0 abbreviates two commits and so names neither; the record without an id still links c2 and c6
     assert got == {("c3", "c1"), ("c1", "c1"), ("c2", "c2"), ("c6", "c2"), ("c4", "c4"), ("c5", "c5")}
     assert linked_records(df.limit(0), "case_id", ("s", "t")).count() == 0
+
+
+def test_a_record_links_what_all_its_rows_name(spark):
+    u = "https://x.example/o/r/pull/"
+    rows = [("2", u + "2", u + "3"), ("2", u + "10", u + "11"), ("1", u + "2", None), ("3", None, u + "11"), ("4", u + "20", ""), ("4", "", u + "21"), ("5", u + "21", None), (None, u + "30", None), (None, None, u + "31"), ("6", u + "30", None), ("7", u + "31", None)]
+    got = {(r.case_id, r.group_id) for r in linked_records(spark.createDataFrame(rows, "case_id string, s string, t string"), "case_id", ("s", "t")).collect()}
+    # rows without an id link each by itself, so 6 and 7 stay apart
+    assert got == {("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("5", "4"), ("6", "6"), ("7", "7")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_cases_on_several_rows_equal_the_sql(spark, tmp_path):
+    """The case table with every third case also standing on another case's row."""
+    duckdb = pytest.importorskip("duckdb")
+    cases = spark.read.parquet("/root/testdata/sf0.001/practical_localization_results_14.parquet").dropDuplicates(["case_id"])
+    far = cases.orderBy(F.xxhash64("case_id")).withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("case_id"))))
+    moved = far.filter("n % 3 = 0").select("case_id", (F.col("n") + 1).alias("n")).join(far.drop("case_id"), "n").select(*cases.columns)
+    cases.unionByName(moved).coalesce(1).write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW practical_localization_results_14 AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    both = spark.read.parquet(str(tmp_path / "c"))
+    for limit in (0, 10**6):
+        got = {(r.group_case_id, r.case_id) for r in linked_records(both, "case_id", ("source_url", "target_url"), "group_case_id", limit).collect()}
+        assert got == set(con.sql(P3).fetchall())
