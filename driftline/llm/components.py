@@ -56,24 +56,21 @@ def _rank_runs(low: DataFrame) -> DataFrame:
     while True:
         # (tx -> t) is the arc reached so far: if it is known, its own pointer is followed.
         nxt = arcs.select(F.col("x").alias("tx"), F.col("v").alias("t"), F.col("tx").alias("fx"), F.col("t").alias("ft"), F.col("leaf").alias("fleaf"), F.col("ended").alias("fended"), F.col("least").alias("fleast"))
-        open_arcs = arcs.filter("not ended")
-        stepped = open_arcs.join(nxt, ["tx", "t"], "left").select(
+        news = ~F.col("ended") & (F.col("fended").isNull() | F.col("fended") | (F.col("fleast") < F.col("least")))
+        arcs = cut(arcs.join(nxt, ["tx", "t"], "left").select(
             "x", "v", F.coalesce("fx", "tx").alias("tx"), F.coalesce("ft", "t").alias("t"), F.coalesce("fleaf", "leaf").alias("leaf"),
-            F.coalesce("fended", F.lit(True)).alias("ended"), F.least("least", "fleast").alias("least"), (F.col("fended").isNull() | F.col("fended") | (F.col("fleast") < F.col("least"))).alias("news"),
-        )
-        stepped = cut(stepped)
+            F.coalesce("fended", F.lit(True)).alias("ended"), F.least("least", "fleast").alias("least"), news.alias("news"),
+        ))
         # In a run some arc ends at every doubling, in a ring some arc learns of a lower vertex, or all is known.
-        going = stepped.filter("news").count()
-        arcs = arcs.filter("ended").unionByName(stepped.drop("news"))
-        if not going:
-            return arcs
-        arcs = cut(arcs)
+        if arcs.filter("news").isEmpty():
+            return arcs.drop("news")
+        arcs = arcs.drop("news")
 
 
 def _contract(edges: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round: (removed vertices with the surviving vertex they point to, the edges that stay)."""
     low = degrees.filter("d <= 2")
-    arcs = cut(_rank_runs(low))
+    arcs = _rank_runs(low)
     ends = arcs.filter("v <> t or not leaf").groupBy("v").agg(
         F.max(F.when(~F.col("leaf") & F.col("ended"), F.col("t"))).alias("core"), F.min(F.when(~F.col("leaf") & F.col("ended"), F.col("t"))).alias("other"),
         F.min(F.when(F.col("leaf"), F.col("t"))).alias("tip"), F.min(F.when(~F.col("ended"), F.col("least"))).alias("ring"), F.count_if(~F.col("leaf") & F.col("ended")).alias("cores"),
