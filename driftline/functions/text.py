@@ -30,6 +30,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def text_lines(c: Column) -> Column:
+    """The lines of a text, at all the line ends Unicode knows; no line follows a final line end, null and empty have none."""
+    pieces = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n")
+    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+
+
 def clip(c: Column, limit: int) -> Column:
     """White space squeezed, cut to ``limit`` characters."""
     return F.substring(strip(F.regexp_replace(c, r"(?U)\s+", " ")), 1, limit)

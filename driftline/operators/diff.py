@@ -1,54 +1,57 @@
 """Unified diffs: statements with line numbers, hunks, changed ranges, edited/deleted/added pairs.
 
-A patch is one row; its lines are numbered inside the row by a higher-order
-fold, so parsing needs no shuffle and no window.
+Lines are numbered by running sums over each patch. Deleted and added lines of
+a hunk are paired by their similarity, scored for all pairs that can reach the
+threshold; only the choice among scored pairs is sequential.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftline.functions.text import TOKEN_WORD, meaningful, strip
-
-_LINE = "struct<hunk:int,pos:int,kind:string,old:int,new:int,text:string>"
-
+from driftline.functions.seqratio import edit_similarity
+from driftline.functions.text import TOKEN_WORD, meaningful, strip, text_lines
 
-def _lines(patch: Column) -> Column:
-    """Every hunk line with its hunk, kind and old and new line number; file headers are skipped wherever they stand."""
-    raw = F.split(F.regexp_replace(F.coalesce(patch, F.lit("")), r"\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n")
-    # split leaves one empty piece behind a final line end (and for an empty patch); it is no line
-    lines = F.when(F.element_at(raw, -1) == "", F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
-    start = F.struct(F.lit(0).alias("hunk"), F.lit(0).alias("old"), F.lit(0).alias("new"), F.array().cast(f"array<{_LINE}>").alias("out"))
+# Fixed value: where a hunk header names the old and the new line.
+_NUMBERS = r"-(\d+)(?:,\d+)? \+(\d+)(?:,\d+)?"
+#: Similarity from which a deleted and an added line count as one edited line.
+EDITED = 0.34
 
-    def step(s: Column, line: Column) -> Column:
-        head = r"-(\d+)(?:,\d+)? \+(\d+)(?:,\d+)?"
-        is_head, is_file = line.startswith("@@"), line.startswith("+++") | line.startswith("---")
-        numbered = line.rlike(head)
-        kind = F.when(line.startswith("+"), "added").when(line.startswith("-"), "deleted").otherwise("context")
-        text = strip(F.when((kind != "context") | line.startswith(" "), F.substr(line, F.lit(2))).otherwise(line))
-        row = F.struct(s["hunk"].alias("hunk"), F.size(s["out"]).alias("pos"), kind.alias("kind"), s["old"].alias("old"), s["new"].alias("new"), text.alias("text"))
-        opened = F.struct(
-            (s["hunk"] + 1).alias("hunk"),
-            F.when(numbered, F.regexp_extract(line, head, 1).try_cast("int")).otherwise(s["old"]).alias("old"),
-            F.when(numbered, F.regexp_extract(line, head, 2).try_cast("int")).otherwise(s["new"]).alias("new"), s["out"].alias("out"),
-        )
-        read = F.struct(
-            s["hunk"].alias("hunk"), (s["old"] + (kind != "added").cast("int")).alias("old"), (s["new"] + (kind != "deleted").cast("int")).alias("new"),
-            F.concat(s["out"], F.array(row.cast(_LINE))).alias("out"),
-        )
-        return F.when(is_head, opened).when(is_file, s).otherwise(read)
 
-    return F.aggregate(lines, start, step, lambda s: s["out"])
+def _numbered(patches: DataFrame, keys: list[str], patch: str) -> DataFrame:
+    """:func:`hunk_lines` with ``f``, which names the patch (its keys may be null)."""
+    p = F.coalesce(F.col(patch), F.lit(""))
+    given = patches.select(*keys, F.sha2(F.concat_ws("\x01", F.to_json(F.struct(*keys)), p), 256).alias("f"), p.alias("p")).distinct()
+    lines = given.select(*keys, "f", F.posexplode(text_lines(F.col("p"))).alias("at", "line"))
+    line = F.col("line")
+    # A header of a file is no line of it, wherever it stands.
+    role = F.when(line.startswith("@@"), "head").when(line.startswith("+++") | line.startswith("---"), "file").when(line.startswith("+"), "added").when(line.startswith("-"), "deleted").otherwise("context")
+    begun = lambda i: F.when((role == "head") & line.rlike(_NUMBERS), F.regexp_extract(line, _NUMBERS, i).try_cast("int"))
+    so_far = Window.partitionBy("f").orderBy("at")
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    passed = lambda *roles: F.coalesce(F.count_if(F.col("role").isin(*roles)).over(before), F.lit(0))
+    lines = lines.select(*keys, "f", "at", "line", role.alias("role"), begun(1).alias("old0"), begun(2).alias("new0")).select(
+        "*", F.count_if(F.col("role") == "head").over(so_far).alias("hunk"), passed("deleted", "context").alias("olds"), passed("added", "context").alias("news")
+    )
+    # The number of a line is that of its hunk's header and the lines of its side passed since.
+    since = lambda first, n: F.coalesce(F.last(F.when(F.col(first).isNotNull(), F.col(first) - F.col(n)), True).over(so_far), F.lit(0)) + F.col(n)
+    marked = (F.col("role") != "context") | line.startswith(" ")
+    return lines.select(
+        *keys, "f", F.col("hunk").cast("int").alias("hunk"), (F.count_if(F.col("role").isin("added", "deleted", "context")).over(so_far) - 1).cast("int").alias("pos"), F.col("role").alias("kind"),
+        since("old0", "olds").cast("int").alias("old"), since("new0", "news").cast("int").alias("new"), strip(F.when(marked, F.substr(line, F.lit(2))).otherwise(line)).alias("text"),
+    ).filter("kind not in ('head', 'file')")
 
 
 def hunk_lines(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
-    """(keys, hunk, pos, kind, old, new, text) of every line of every patch; null patches have none."""
-    return patches.select(*keys, F.explode(_lines(F.col(patch))).alias("l")).select(*keys, "l.*")
+    """(keys, hunk, pos, kind, old, new, text) of every line of every patch.
+
+    Null and empty patches have none; rows equal in keys and patch count once;
+    lines before the first header belong to hunk 0.
+    """
+    return _numbered(patches, keys, patch).drop("f")
 
 
 def patch_statements(patches: DataFrame, keys: list[str], patch: str = "patch", context: bool = True) -> DataFrame:
@@ -61,61 +64,47 @@ def patch_statements(patches: DataFrame, keys: list[str], patch: str = "patch",
 
 def changed_ranges(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
     """(keys, hunk, start, end): one closed range of old lines per hunk, from its first to its last change."""
-    lines = hunk_lines(patches, keys, patch).filter("kind <> 'context'")
+    lines = _numbered(patches, keys, patch).filter("kind <> 'context'")
     first = F.when(F.col("kind") == "added", F.greatest(F.col("old") - 1, F.lit(1))).otherwise(F.col("old"))
-    per = lines.groupBy(*keys, "hunk").agg(
+    per = lines.groupBy(*keys, "f", "hunk").agg(
         F.min_by(first, "pos").alias("start"), F.max_by("kind", "pos").alias("k"), F.max_by("old", "pos").alias("o")
     )
     return per.select(*keys, "hunk", "start", F.when(F.col("k") == "added", F.greatest("o", "start")).otherwise(F.col("o")).alias("end"))
 
 
-def _similar(a: str, b: str) -> float:
-    import re
-
-    token = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]")
-    sa, sb = set(token.findall(a.lower())), set(token.findall(b.lower()))
-    both = len(sa & sb) / len(sa | sb) if sa and sb else float(not sa and not sb)
-    tokens = 0.55 * SequenceMatcher(None, a.strip(), b.strip()).ratio() + 0.45 * both
-    return 0.55 * SequenceMatcher(None, a.lower(), b.lower()).ratio() + 0.45 * tokens
-
-
-#: Similarity from which a deleted and an added line count as one edited line.
-EDITED = 0.34
-
-
-def _pair(rows: list[dict]) -> Iterator[tuple]:
-    deleted = [r for r in rows if r["kind"] == "deleted"]
-    added = [r for r in rows if r["kind"] == "added"]
-    free = dict(enumerate(added))
-    for d in deleted:
-        best, at = 0.0, None
-        for i, a in free.items():
-            score = _similar(d["text"], a["text"])
-            if score > best:
-                best, at = score, i
-        if at is not None and best >= EDITED:
-            a = free.pop(at)
-            yield "edited", d["old"], d["old"], a["new"], a["new"], d["text"], a["text"], d["old"]
-        else:
-            yield "deleted", d["old"], d["old"], None, None, d["text"], "", d["old"]
-    for a in free.values():
-        anchor = max(a["old"] - 1, 1)
-        yield "added_new", anchor, anchor, a["new"], a["new"], "", a["text"], anchor
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("d", T.IntegerType()), T.StructField("a", T.IntegerType())])))
+def _first_come(scored: pd.Series) -> pd.Series:
+    """Of (d, -score, a) in ascending order: each d with its best a that no earlier d has."""
+    out = []
+    for candidates in scored:
+        partner, taken = {}, set()
+        for c in candidates:
+            if c["d"] not in partner and c["a"] not in taken:
+                partner[c["d"]] = c["a"]
+                taken.add(c["a"])
+        out.append([{"d": d, "a": a} for d, a in partner.items()])
+    return pd.Series(out, dtype="object")
 
 
 def statement_ground_truth(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
-    """Edited, deleted and new statements per hunk.
+    """(keys, hunk, kind, old_start, old_end, new_start, new_end, old_text, new_text, anchor_line): what each hunk changes.
 
-    Deleted lines take, in order, the best free added line of the hunk. The
-    greedy choice is sequential, so a hunk's lines come as one array of one row.
+    In their order, deleted lines take the most similar added line of the hunk
+    that is still free, from ``EDITED`` on (the first of equals): 'edited'. The
+    others are 'deleted' and 'added_new'; those are anchored at the old line before them.
     """
-    lines = hunk_lines(patches, keys, patch).filter((F.col("kind") != "context") & meaningful(F.col("text"), 2, TOKEN_WORD))
-    hunks = lines.groupBy(*keys, "hunk").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "old", "new", "text"))).alias("items"))
-    found = "array<struct<kind:string,old_start:int,old_end:int,new_start:int,new_end:int,old_text:string,new_text:string,anchor_line:int>>"
-
-    @F.pandas_udf(found)
-    def pairs(items: pd.Series) -> pd.Series:
-        names = ("kind", "old_start", "old_end", "new_start", "new_end", "old_text", "new_text", "anchor_line")
-        return items.map(lambda rows: [dict(zip(names, p, strict=True)) for p in _pair(list(rows))])
-
-    return hunks.select(*keys, "hunk", F.inline(pairs("items")))
+    lines = _numbered(patches, keys, patch).filter((F.col("hunk") > 0) & (F.col("kind") != "context") & meaningful(F.col("text"), 2, TOKEN_WORD))
+    side = lambda kind, x: lines.filter(F.col("kind") == kind).select("f", "hunk", F.col("pos").alias(x), F.col("text").alias(f"{x}_text"))
+    d, a = F.length("d_text"), F.length("a_text")
+    # Both ratios are at most that of the lengths, the share of common tokens at most 1.
+    reachable = (0.55 + 0.45 * 0.55) * 2 * F.least(d, a) / (d + a) + 0.45 * 0.45 >= EDITED - 1e-9
+    scored = side("deleted", "d").join(side("added", "a"), ["f", "hunk"]).filter(reachable).withColumn("score", edit_similarity(F.col("d_text"), F.col("a_text"))).filter(F.col("score") >= EDITED)
+    chosen = scored.groupBy("f", "hunk").agg(F.array_sort(F.collect_list(F.struct("d", (-F.col("score")).alias("s"), "a"))).alias("c")).select("f", "hunk", F.inline(_first_come("c")))
+    old = lines.filter("kind = 'deleted'").withColumnRenamed("pos", "d").join(chosen, ["f", "hunk", "d"], "left").select(*keys, "f", "hunk", F.col("old").alias("o"), F.col("text").alias("old_text"), "a")
+    new = lines.filter("kind = 'added'").select(*[F.col(k).alias(f"n_{k}") for k in keys], "f", "hunk", F.col("pos").alias("a"), F.greatest(F.col("old") - 1, F.lit(1)).alias("anchor"), "new", F.col("text").alias("new_text"))
+    both = old.join(new, ["f", "hunk", "a"], "full")
+    at = F.coalesce("o", "anchor")
+    return both.select(
+        *[F.when(F.col("o").isNull(), F.col(f"n_{k}")).otherwise(F.col(k)).alias(k) for k in keys], "hunk", F.when(F.col("o").isNull(), "added_new").when(F.col("new").isNull(), "deleted").otherwise("edited").alias("kind"),
+        at.alias("old_start"), at.alias("old_end"), F.col("new").alias("new_start"), F.col("new").alias("new_end"), F.coalesce("old_text", F.lit("")).alias("old_text"), F.coalesce("new_text", F.lit("")).alias("new_text"), at.alias("anchor_line"),
+    )

@@ -2,55 +2,63 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.paths import extension, node_id
-from driftline.functions.text import TOKEN_WORD, strip
+from driftline.functions.text import TOKEN_WORD, strip, text_lines
 
-_DECLARATION = re.compile(r"^\s*(func|type|var|const)\s+(?:(\([^)]*\))\s*)?([A-Za-z_][A-Za-z0-9_]*)")
+# What begins a declaration.
+DECLARATION = r"(?U)^\s*(func|type|var|const)\s+(?:(\([^)]*\))\s*)?([A-Za-z_][A-Za-z0-9_]*)"
 #: How far a declaration's closing brace is looked for, and what is taken without one.
 LOOK_AHEAD, DEFAULT_EXTENT = 400, 80
 
 
-def _end(lines: list[str], start: int) -> int:
-    depth, opened = 0, False
-    for n in range(start, min(len(lines), start + LOOK_AHEAD) + 1):
-        code = lines[n - 1].split("//", 1)[0]
-        depth += code.count("{") - code.count("}")
-        opened = opened or "{" in code
-        if opened and depth <= 0:
-            return n
-        if not opened and n > start and not lines[n - 1].strip():
-            return n - 1
-    return min(len(lines), start + DEFAULT_EXTENT)
+def _count(line: Column, sign: str) -> Column:
+    return F.length(line) - F.length(F.translate(line, sign, ""))
 
 
-def declarations(content: str) -> Iterator[dict]:
-    lines = content.splitlines()
-    for n, line in enumerate(lines, start=1):
-        if m := _DECLARATION.match(line):
-            kind, receiver, name = m.groups()
-            yield {"kind": "method" if kind == "func" and receiver else kind, "name": name, "receiver": receiver, "start_line": n, "end_line": _end(lines, n), "signature": line.strip()[:300]}
+def _first(lines: Column, condition) -> Column:
+    """The number of the first line that meets a condition, or null."""
+    return F.get(F.filter(lines, condition), 0)["n"]
 
 
 def parse_symbols(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, kind, name, receiver, start_line, end_line, signature) of each file's declarations; null texts have none."""
-
-    @F.pandas_udf("array<struct<kind:string,name:string,receiver:string,start_line:int,end_line:int,signature:string>>")
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(declarations(t or "")))
+    """(keys, kind, name, receiver, start_line, end_line, signature) of each file's declarations.
 
-    return files.select(*keys, F.inline(parse(text)))
+    Brace depths are running sums over the file's lines. A declaration ends at
+    its first line, from its first opening brace on, at which the depth is back to what it
+    was before; at the line before an empty one if that comes before any opening
+    brace; else ``DEFAULT_EXTENT`` lines on. Null and empty texts declare
+    nothing; repeated rows count once.
+    """
+    own = [*keys, "__file"]
+    line, code = F.col("line"), F.regexp_replace("line", "//.*", "")
+    lines = files.filter(F.length(text) > 0).select(*keys, F.md5(F.encode(F.col(text), "UTF-8")).alias("__file"), F.col(text).alias("__text")).distinct()
+    lines = lines.select(*own, F.posexplode(text_lines(F.col("__text"))).alias("at", "line")).select(
+        *own, "line", (F.col("at") + 1).alias("n"), _count(code, "{").alias("opened"), _count(code, "}").alias("closed"), (strip(line) == "").alias("blank")
+    )
+    lines = lines.withColumn("depth", F.sum(F.col("opened") - F.col("closed")).over(Window.partitionBy(*own).orderBy("n")))
+    declared = F.struct(
+        F.regexp_extract(line, DECLARATION, 1).alias("word"), F.nullif(F.regexp_extract(line, DECLARATION, 2), F.lit("")).alias("receiver"), F.regexp_extract(line, DECLARATION, 3).alias("name"),
+        F.col("n").alias("start"), (F.col("depth") - F.col("opened") + F.col("closed")).alias("before"), F.substring(strip(line), 1, 300).alias("signature"),
+    )
+    whole = lines.groupBy(*own).agg(
+        F.array_sort(F.collect_list(F.struct("n", "depth", "opened", "blank"))).alias("lines"), F.collect_list(F.when(line.rlike(DECLARATION), declared)).alias("found")
+    )
+    each = whole.select(*keys, F.size("lines").alias("total"), "lines", F.explode("found").alias("d")).select(*keys, "total", "d", F.slice("lines", F.col("d.start"), LOOK_AHEAD + 1).alias("near"))
+    each = each.withColumn("opens", _first(F.col("near"), lambda x: x["opened"] > 0))
+    gap = _first(F.col("near"), lambda x: x["blank"] & (x["n"] > F.col("d.start")) & (F.col("opens").isNull() | (x["n"] < F.col("opens"))))
+    shut = _first(F.col("near"), lambda x: (x["n"] >= F.col("opens")) & (x["depth"] <= F.col("d.before")))
+    return each.select(
+        *keys, F.when((F.col("d.word") == "func") & F.col("d.receiver").isNotNull(), "method").otherwise(F.col("d.word")).alias("kind"), "d.name", "d.receiver", F.col("d.start").alias("start_line"),
+        F.coalesce(gap - 1, shut, F.least("total", F.col("d.start") + DEFAULT_EXTENT)).alias("end_line"), "d.signature",
+    )
 
 
 def fallback_symbols(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Lines that begin a declaration, with a fixed extent; all built-ins."""
-    lines = files.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line"), F.size(F.split(text, "\n")).alias("n"))
+    """Lines that begin a declaration, with a fixed extent."""
+    lines = files.select(*keys, text_lines(F.col(text)).alias("ls")).select(*keys, F.posexplode("ls").alias("pos", "line"), F.size("ls").alias("n"))
     s = strip(F.col("line"))
     found = lines.filter(s.rlike(r"^(?:func|type|var|const)\b"))
     kind = F.regexp_extract(s, r"^(func|type|var|const)", 1)

@@ -176,16 +176,23 @@ m AS (SELECT label, place, avg(x / n) x FROM u JOIN n USING (vec_id) GROUP BY AL
 SELECT label, place::INT AS place, round(x / n, 6) AS x FROM m JOIN k USING (label)"""
 
 
+def _one_line(s: DataFrame) -> DataFrame:
+    """Statements with a text, as one line of a diff each (an inner line end would begin another line there)."""
+    return s.filter("text is not null").withColumn("text", F.regexp_replace("text", r"[\r\n]+", " "))
+
+
 def _patches(spark, d) -> DataFrame:
     """A unified diff of every shown file, put together from its statements: a hunk for each."""
-    s = statements(spark, d).filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\r\n]") & ~F.col("text").rlike(r"^(?:\+\+|--)"))
+    s = _one_line(statements(spark, d))
     sign = F.when(F.col("kind") == "added", "+").when(F.col("kind") == "deleted", "-").otherwise(" ")
     hunk = F.concat(F.lit("@@ -"), F.col("line_no"), F.lit(",1 +"), F.col("line_no"), F.lit(",1 @@\n"), sign, F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("ord", "line_no", hunk.alias("h"))))
     return s.groupBy("pair_index", "side", "path").agg(F.array_join(F.transform(parts, lambda x: x["h"]), "\n").alias("patch"))
 
 
-_SHOWN = rf"(SELECT *, {strip_sql('text')} s FROM {STATEMENTS} WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\r\n]') AND NOT regexp_matches(text, '^(?:\+\+|--)'))"
+# A deleted line that begins with -- and an added one that begins with ++ read like the header of a file, which a diff's reader skips.
+_LINE = r"regexp_replace(text, '[\r\n]+', ' ', 'g')"
+_SHOWN = f"(SELECT *, {strip_sql(_LINE)} s FROM {STATEMENTS} WHERE text IS NOT NULL AND NOT (kind = 'added' AND starts_with({_LINE}, '++')) AND NOT (kind = 'deleted' AND starts_with({_LINE}, '--')))"
 
 
 def diff_statements(spark, d):
@@ -204,7 +211,7 @@ SQL_RANGES = f"SELECT pair_index, side, path, CASE kind WHEN 'added' THEN greate
 
 def diff_ground_truth(spark, d):
     """Edited, deleted and new statements, one hunk per file."""
-    s = statements(spark, d).filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\r\n]") & ~F.col("text").rlike(r"^(?:\+\+|--)"))
+    s = _one_line(statements(spark, d))
     sign = F.when(F.col("kind") == "added", "+").when(F.col("kind") == "deleted", "-").otherwise(" ")
     parts = F.array_sort(F.collect_list(F.struct("ord", "line_no", F.concat(sign, F.col("text")).alias("h"))))
     p = s.groupBy("pair_index", "side", "path").agg(F.concat(F.lit("@@ -1,1 +1,1 @@\n"), F.array_join(F.transform(parts, lambda x: x["h"]), "\n")).alias("patch"))
@@ -238,6 +245,23 @@ def parsed_symbols(spark, d):
     return Y.parse_symbols(s.groupBy("pair_index", "path").agg(text), ["pair_index", "path"])
 
 
+_LOOK = rf"""
+WITH f AS (SELECT pair_index, path, string_agg(text, chr(10) ORDER BY ord, line_no, text) t FROM {STATEMENTS} WHERE text IS NOT NULL AND side = 'Infestor' GROUP BY ALL),
+g AS (SELECT pair_index, path, string_split(regexp_replace(t, '\r\n?|[\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)) ls FROM f WHERE t <> ''),
+h AS (SELECT pair_index, path, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END ls FROM g),
+l AS (SELECT pair_index, path, len(ls) total, unnest(ls) line, unnest(range(1, len(ls) + 1)) n FROM h),
+c AS (SELECT *, regexp_replace(line, '//.*', '') code FROM l),
+e AS (SELECT *, length(code) - length(replace(code, '{{', '')) up, length(code) - length(replace(code, '}}', '')) down FROM c),
+p AS (SELECT *, sum(up - down) OVER (PARTITION BY pair_index, path ORDER BY n) depth FROM e),
+d AS (SELECT *, regexp_extract(line, '{{decl}}', ['word', 'receiver', 'name']) m FROM p WHERE regexp_matches(line, '{{decl}}')),
+w AS (SELECT d.pair_index, d.path, d.n, d.m, d.total, d.line, d.depth - d.up + d.down AS before, p.n k, p.depth, {strip_sql('p.line')} = '' AS gap, min(CASE WHEN p.up > 0 THEN p.n END) OVER (PARTITION BY d.pair_index, d.path, d.n) opens
+  FROM d JOIN p ON p.pair_index = d.pair_index AND p.path = d.path AND p.n BETWEEN d.n AND d.n + 400)
+SELECT pair_index, path, CASE WHEN m.word = 'func' AND m.receiver <> '' THEN 'method' ELSE m.word END AS kind, m.name AS name, nullif(m.receiver, '') AS receiver, n::INT AS start_line,
+  coalesce(min(CASE WHEN gap AND k > n AND (opens IS NULL OR k < opens) THEN k - 1 END), min(CASE WHEN k >= opens AND depth <= before THEN k END), least(any_value(total), n + 80))::INT AS end_line, left({strip_sql('any_value(line)')}, 300) AS signature
+FROM w GROUP BY pair_index, path, n, m"""
+SQL_PARSED = _LOOK.replace("{decl}", r"^\s*(func|type|var|const)\s+(?:(\([^)]*\))\s*)?([A-Za-z_][A-Za-z0-9_]*)")
+
+
 def _tree(spark, d):
     s = table(spark, d, "sides").select("repo", F.explode("file_names").alias("p"))
     return s.select("repo", tidy(F.col("p")).alias("path")).filter("path <> ''").distinct()
@@ -422,7 +446,7 @@ QUERIES = {
     "diff_ground_truth": (diff_ground_truth, None),
     "source_intents": (source_intents, SQL_INTENTS),
     "declaration_lines": (declaration_lines, SQL_DECL),
-    "parsed_symbols": (parsed_symbols, None),
+    "parsed_symbols": (parsed_symbols, SQL_PARSED),
     "graph_edges": (graph_edges, SQL_EDGES),
     "graph_nodes": (graph_nodes, SQL_NODES),
     "interval_hits": (interval_hits, _hits_sql()),

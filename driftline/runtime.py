@@ -1,8 +1,8 @@
 """Session helpers shared by all operators.
 
 Cluster rules kept here: lineage is cut by ``checkpoint()`` into the shared
-folder named in ``spark.checkpoint.dir`` (a local folder is set only where the
-session names none, as in tests), and nothing is broadcast unless its size has
+folder named in ``spark.checkpoint.dir`` (a temporary folder is taken only by a
+local session that names none, as in tests), and nothing is broadcast unless its size has
 a proven bound.
 """
 
@@ -41,10 +41,8 @@ def partitions(spark: SparkSession) -> int:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-ck-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -61,9 +59,18 @@ def fan_out(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder (a temporary one only where none is named)."""
+    """The folder all executors share: the one of ``spark.checkpoint.dir``.
+
+    A session that names none gets a temporary folder if it is local; on a
+    cluster that is an error, as no machine-local folder would do.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="driftline-")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="driftline-")
 
 
 def fresh(columns: list[str], stem: str) -> str:
@@ -91,19 +98,23 @@ def tidy_path(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"^(?:\./+)+", "")
 
 
-def lookup_salted(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup_salted(big: DataFrame, small: DataFrame, key: str, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """Join ``big`` to ``small`` (one row per key) although a key may hold a third of ``big``.
 
-    Rows of a hot key are spread over salts and the one matching row of ``small``
+    The rows of a key are counted first (or given as ``counts``: key, __n). Rows of a hot key are
+    spread over salts and the one matching row of ``small``
     is replicated once per salt. A key is hot from ``rows / (2 * partitions)``
     rows, so at most ``2 * partitions`` keys are hot: that list is what gets
-    broadcast. Cold keys keep salt 0 and pay nothing.
+    broadcast. Cold keys keep salt 0; without any hot key the join is a plain one.
     """
     spark = big.sparkSession
     n = partitions(spark)
-    counts = big.filter(col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    floor = max(total / (2 * n), 10_000)
+    if counts is None:
+        counts = big.filter(col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    floor = max((total or 0) / (2 * n), 10_000)
+    if (most or 0) < floor:
+        return big.join(small, key, how)
     salts = max(2, n)
     hot = F.broadcast(counts.filter(F.col("__n") >= floor).select(col(key).alias("__hot")))
     # The salt is a hash of the row, not a random number: a task that runs again after a loss gives the same one.
