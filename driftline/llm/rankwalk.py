@@ -11,8 +11,12 @@ distribution is found by power iteration; one step costs a sorted prefix sum
 per score. Groups are independent, so all groups of a partition are iterated
 together in flat arrays.
 
-Groups beyond ``group_limit`` rows never go to one task: their walk is run on
-mid-rank bins (``BINS`` a score), whose prefix sums are small aggregates.
+Groups beyond ``group_limit`` rows never go to one task. Their exact ranks come
+from a range-partitioned sort of the values with prefix-summed counts. At the
+stationary point an item's probability follows from its own ranks and, per
+score, the mass below its rank; only these mass curves are iterated, at
+``BINS`` points a score between which they are interpolated by the exact counts
+of items. So a round is one small aggregate, and no two ranks are merged.
 """
 
 from __future__ import annotations
@@ -21,17 +25,19 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.runtime import col, cut, fresh
+from driftline.runtime import col, cut, fresh, lookup_salted, partitions
 
 DAMPING = 0.5
 STEPS = 60
 #: A missing score's rank is the mean of the item's ranks and of this many middle ranks.
 PRIOR = 2.0
 BINS = 4096
+#: How many large groups are walked together: their curves pass through the driver.
+WIDE_AT_ONCE = 32
 
 
 def _runs(group: np.ndarray, values: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,51 +109,73 @@ def _walker(key: str, scores: Sequence[str], out: str, damping: float, steps: in
     return run
 
 
-def _wide_walk(df: DataFrame, key: str, scores: Sequence[str], out: str, damping: float, steps: int) -> DataFrame:
-    """The walk of very large groups: items meet only as bins of ``1 / BINS`` of the order.
-
-    Items of equal bins in all scores are merged into one state with a weight. A
-    step needs the mass per (group, score, bin), at most ``BINS + 1`` rows per
-    score and group, summed up over the bins below and looked up again.
-    """
-    names = [f"__b{i}" for i in range(len(scores))]
-    binned = cut(df)
-    for s, b in zip(scores, names, strict=True):
-        value = F.when(~F.isnan(col(s)), col(s))
-        edges = F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), 4 * BINS))
-        # One row per large group, of which there are at most rows / group_limit.
-        binned = binned.join(F.broadcast(binned.groupBy(key).agg(edges.alias("__e"))), key).withColumn(
-            b,
-            F.when(value.isNotNull(), F.expr(
-                f"aggregate(sequence(1, 13), named_struct('lo', 0, 'hi', size(__e)), (s, i) -> if(s.lo >= s.hi, s, if(__e[int((s.lo + s.hi) / 2)] < `{s}`, "
-                "named_struct('lo', int((s.lo + s.hi) / 2) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', int((s.lo + s.hi) / 2)))), s -> (s.lo + 0.5D) / (size(__e) + 1))"
-            )),
-        ).drop("__e")
-        binned = cut(binned)
-    known = sum((F.col(b).isNotNull().cast("int") for b in names), F.lit(0))
-    middle = (sum((F.coalesce(F.col(b), F.lit(0.0)) for b in names), F.lit(0.0)) + 0.5 * PRIOR) / (known + PRIOR)
-    binned = cut(binned.select(*df.columns, *[F.round(F.coalesce(F.col(b), middle) * BINS).alias(b) for b in names]))
-    state = binned.groupBy(key, *names).agg(F.count(F.lit(1)).cast("double").alias("__w"))
-    sizes = F.broadcast(binned.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("__n")))
-    up = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    for b in names:
-        above = state.groupBy(key, b).agg(F.sum("__w").alias("__c")).withColumn(f"{b}_up", F.coalesce(F.sum("__c").over(up.orderBy(F.col(b).desc())), F.lit(0.0)))
-        state = cut(state.join(above.drop("__c"), [key, b]))
-    state = cut(state.join(sizes, key).withColumn("__p", 1.0 / F.col("__n")))
+def _below(df: DataFrame, value: str, less: str, equal: str) -> DataFrame:
+    """``df`` with the exact numbers of rows of its ``gid`` whose ``value`` is less and equal (null for a null value)."""
+    spark = df.sparkSession
+    counts = df.filter(col(value).isNotNull()).groupBy("gid", col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    # The values of a group, however many, in order over the partitions.
+    placed = cut(cut(counts).repartitionByRange(partitions(spark), "gid", "v").withColumn("part", F.spark_partition_id()))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("gid", "part").agg(F.sum("c").alias("pc")).withColumn("base", F.coalesce(F.sum("pc").over(before("gid").orderBy("part")), F.lit(0)))
+    here = F.coalesce(F.sum("c").over(before("gid", "part").orderBy("v")), F.lit(0))
+    ranked = placed.withColumn("here", here).join(sums.select("gid", "part", "base"), ["gid", "part"])
+    ranked = cut(ranked.select(F.struct("gid", "v").alias("__key"), (F.col("base") + F.col("here")).alias(less), F.col("c").alias(equal)))
+    keyed = df.withColumn("__key", F.when(col(value).isNotNull(), F.struct("gid", col(value).alias("v"))))
+    return cut(lookup_salted(keyed, ranked, "__key", counts=ranked.select("__key", F.col(equal).alias("__n"))).drop("__key"))
+
+
+def _wide_walk(df: DataFrame, scores: Sequence[str], out: str, damping: float, steps: int, bins: int) -> DataFrame:
+    """The walk of large groups: ``df`` has ``gid`` and ``n`` (the group's size) besides; at most ``WIDE_AT_ONCE`` groups."""
+    spark = df.sparkSession
+    k = len(scores)
+    have, less, same, r = ([f"__{x}{i}" for i in range(k)] for x in ("have", "less", "same", "rank"))
+    rows = cut(df)
+    known = rows.groupBy("gid").agg(*[F.count_if(col(s).isNotNull() & ~F.isnan(col(s))).alias(h) for s, h in zip(scores, have, strict=True)])
+    rows = rows.join(F.broadcast(known), "gid")
+    for i, s in enumerate(scores):
+        rows = _below(rows.withColumn(r[i], F.when(~F.isnan(col(s)), col(s) + 0.0)), r[i], less[i], same[i])
+        rows = rows.withColumn(r[i], (F.col(less[i]) + F.col(same[i]) / 2) / F.col(have[i])).drop(less[i], same[i])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    middle = (sum((zero(c) for c in r), F.lit(0.0)) + 0.5 * PRIOR) / (sum((F.col(c).isNotNull().cast("int") for c in r), F.lit(0)) + PRIOR)
+    rows = rows.select("*", middle.alias("__middle")).select(*df.columns, *[F.round(F.coalesce(F.col(c), F.col("__middle")), 11).alias(c) for c in r])
+    for i in range(k):
+        rows = _below(rows, r[i], less[i], same[i])
+    at = [F.least(F.floor(F.col(c) * bins / F.col("n")), F.lit(bins - 1)).cast("int") for c in less]
+    stay = sum(((F.col(lo) + F.col(eq)) / F.col("n") for lo, eq in zip(less, same, strict=True)), F.lit(0.0))
+    rows = cut(rows.select(*df.columns, *less, *[a.alias(c) for a, c in zip(at, r, strict=True)], stay.alias("__stay")))
+
+    def curves(weight: Column, given: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+        """The sum of a weight at every bin, by group and score: at most WIDE_AT_ONCE * scores * bins numbers."""
+        each = given.select("gid", weight.alias("w"), F.posexplode(F.array(*r)).alias("k", "b"))
+        got = each.groupBy("gid", "k", "b").agg(F.sum("w").alias("w")).toPandas()
+        found = {}
+        for (g, i), part in got.groupby(["gid", "k"]):
+            found[int(g), int(i)] = np.zeros(bins)
+            found[int(g), int(i)][part["b"].to_numpy()] = part["w"].to_numpy(float)
+        return found
+
+    sizes = curves(F.lit(1.0), rows)
+    groups = sorted({g for g, _ in sizes})
+    mass = {key: n / n.sum() for key, n in sizes.items()}
+    start = lambda x: np.r_[0.0, np.cumsum(x)[:-1]]
+    done = None
     for _ in range(steps):
-        nxt = state
-        for b in names:
-            mass = state.groupBy(key, b).agg(F.sum(F.col("__w") * F.col("__p")).alias("__f"))
-            nxt = nxt.join(mass.withColumn(f"{b}_in", F.coalesce(F.sum("__f").over(up.orderBy(b)), F.lit(0.0))).drop("__f"), [key, b])
-        into = sum((F.col(f"{b}_in") / F.col("__n") + F.col("__p") * (1 - F.col(f"{b}_up") / F.col("__n")) for b in names), F.lit(0.0))
-        nxt = nxt.withColumn("__q", damping * into / len(names) + (1 - damping) / F.col("__n"))
-        state = cut(nxt.withColumn("__d", F.abs(F.col("__q") - F.col("__p")) * F.col("__n")).withColumn("__p", F.col("__q")).drop("__q", *[f"{b}_in" for b in names]))
-        moved = state.agg(F.max("__d")).first()[0] or 0.0
-        state = state.drop("__d")
-        if moved < 1e-6:
+        # Below an item: the mass of the bins before its own, and of its own the share of items that stand below it.
+        table = spark.createDataFrame(
+            [(g, *[x.tolist() for i in range(k) for x in (start(mass[g, i]), mass[g, i] / np.maximum(sizes[g, i], 1), start(sizes[g, i]))]) for g in groups],
+            "gid bigint, " + ", ".join(f"{x}{i} array<double>" for i in range(k) for x in ("__base", "__each", "__from")),
+        )
+        held = rows.join(F.broadcast(table), "gid")
+        take = lambda c, i: F.get(F.col(f"{c}{i}"), F.col(r[i]))
+        under = sum((take("__base", i) + take("__each", i) * (F.col(less[i]) - take("__from", i)) for i in range(k)), F.lit(0.0))
+        p = (damping * under / k + (1 - damping)) / F.col("n") / (1 - damping * F.col("__stay") / k)
+        done = held.select(*df.columns, *r, p.alias("__p"))
+        new = curves(F.col("__p"), done)
+        moved = max(float(np.abs(start(new[key]) - start(mass[key])).max()) for key in mass)
+        mass = new
+        if moved < 1e-10:
             break
-    done = state.select(key, *names, F.round(F.col("__p") * F.col("__n"), 9).alias(out))
-    return binned.join(done, [key, *names]).drop(*names)
+    return done.withColumn(out, F.round(F.col("__p") * F.col("n"), 9)).drop(*r, "__p")
 
 
 def rank_walk(
@@ -171,18 +199,20 @@ def rank_walk(
     total, largest = total or 0, largest or 0
     # Rows of a partition are bounded: about 100,000 besides one group of at most group_limit.
     tasks = max(int(spark.sparkContext.defaultParallelism), -(-total // 100_000))
-    small = base
+    small, large = base, []
     if largest > group_limit:
-        # At most total / group_limit groups, so this list is small enough to broadcast.
-        big = F.broadcast(sizes.filter(F.col("__size") > group_limit).select(col(group).alias("__big")))
-        hit = col(group).eqNullSafe(F.col("__big"))
-        small, wide = base.join(big, hit, "left_anti"), base.join(big, hit, "left_semi")
-    schema = T.StructType([*small.schema.fields, T.StructField(out, T.DoubleType())])
+        # At most total / group_limit groups: their names and sizes may be held by the driver and broadcast.
+        large = [(r[0], r[1]) for r in sizes.filter(F.col("__size") > group_limit).orderBy(F.col("__size").desc()).collect()]
+        names = spark.createDataFrame([(g, i, n) for i, (g, n) in enumerate(large)], T.StructType([T.StructField("__big", base.schema[group].dataType), T.StructField("gid", T.LongType()), T.StructField("n", T.LongType())]))
+        small = base.join(F.broadcast(names), col(group).eqNullSafe(F.col("__big")), "left_anti")
+    schema = T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())])
     done = (
         small.repartition(tasks, col(group))
         .sortWithinPartitions(col(group), *[col(c) for c in item])
         .mapInPandas(_walker(group, scores, out, damping, steps, min_items), schema)
     )
-    if largest > group_limit:
-        done = done.unionByName(_wide_walk(wide, group, scores, out, damping, steps).select(*done.columns))
+    for at in range(0, len(large), WIDE_AT_ONCE):
+        here = base.toDF(*[f"c{i}" for i in range(len(base.columns))]).join(F.broadcast(names.filter(F.col("gid").between(at, at + WIDE_AT_ONCE - 1))), F.col(f"c{base.columns.index(group)}").eqNullSafe(F.col("__big"))).drop("__big")
+        walked = _wide_walk(here, [f"c{base.columns.index(s)}" for s in scores], "w", damping, steps, BINS)
+        done = done.unionByName(walked.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(base.columns)], F.col("w").alias(out)))
     return done
