@@ -1,16 +1,18 @@
 """Token ids of a corpus by a public byte-level BPE tokenizer.
 
 Texts are cut into words by the tokenizer's pattern. A word that is itself a
-token is looked up in the vocabulary, a table of fixed size that is broadcast;
-every other distinct word of the corpus is encoded once: a Spark higher-order
+token is found within its text, by a perfect hash of the vocabulary's words in
+literal arrays; every other distinct word of the corpus is encoded once: a Spark higher-order
 ``aggregate`` folds merges over its byte ids, in each step the adjacent pair of
 lowest rank, and the ids are joined back to the word's places. Ranks come from
-a literal rank map: a perfect hash table of all merges in binary constants, so
-that a lookup reads a few bytes (Spark searches a map literal of 50,000 entries
-from front to back). Words of more than ``FOLD_BYTES`` bytes, for which a fold
+a literal rank map: a perfect hash of all merges in literal arrays, so
+that a lookup is an array access (Spark searches a map literal of 50,000 entries
+from front to back). The ranks of a word's pairs are kept along the fold: a
+merge looks up the two pairs it makes. Words of more than ``FOLD_BYTES`` bytes, for which a fold
 is quadratic, take an equivalent heap in an Arrow function.
 
-Equal texts are encoded once; places are keyed by the text's MD5.
+Equal texts are encoded once, keyed by the text's MD5; the corpus is read for
+its words and once more for its rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 FOLD_BYTES = 96
 # Primes of the hash functions; products stay far below 2**63.
 _BUCKETS, _P1, _P2 = 16_381, 59_999, 65_521  # keys below P1 * P2 (3.9e9) are told apart
+_HASH = 2**62 - 1  # the bits of a word's hash that are used
+_BETWEEN = "\x01\x02"  # in no word of a vocabulary
 
 
 def default_path() -> str:
@@ -71,14 +76,9 @@ class _Table:
                 raise ValueError("no perfect hash found")
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """Unsigned numbers as big-endian bytes of equal width."""
-    return np.asarray(values, dtype=">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
-
-
-def _read(packed: bytes, width: int, index: Column) -> Column:
-    """The number at a 0-based place of such a constant."""
-    return F.conv(F.hex(F.substr(F.lit(packed), (index * width + 1).cast("int"), F.lit(width))), 16, 10).cast("bigint")
+def _numbers(values) -> Column:
+    """A literal array of numbers: the optimizer folds the text to it, so it is built once and read by place."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _let(value: Column, use) -> Column:
@@ -86,6 +86,13 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _decodes(piece: bytes) -> bool:
+    try:
+        return bool(piece.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 class Vocabulary:
     """One vocabulary file (JSON with vocab and merges; ids below 2**16), with its hash tables."""
 
@@ -104,6 +111,9 @@ class Vocabulary:
         keys = np.array([a * 65_536 + b for a, b in self.merges], dtype=np.int64)
         ranks = np.array([r for r, _ in self.merges.values()])
         self.merge_table, self.merge_keys, self.merge_ranks = _Table(keys), keys, ranks
+        #: the words that are one token, and a perfect hash of them
+        self.words = [(piece.decode(), i) for i, piece in self.pieces.items() if _decodes(piece) and self.encode_bytes(piece) == [i]]
+        self.word_table = _Table(np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) & _HASH for w, _ in self.words], dtype=np.int64))
 
     def encode_bytes(self, word: bytes) -> list[int]:
         """Merges by a heap: n log n for a word of n bytes."""
@@ -133,52 +143,62 @@ class Tokenizer:
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
-        t = v.merge_table
-        none = 2**32 - 1
-        self._shift = _packed(t.shift, 3)
-        self._keys = _packed(np.where(t.slots >= 0, v.merge_keys[t.slots], none), 4)
-        self._ranks = _packed(np.where(t.slots >= 0, v.merge_ranks[t.slots], 0), 2)
-        self._made = _packed(np.array([i for _, i in v.merges.values()]), 2)
-        self._starts = _packed(np.array(v.byte_ids), 2)
-        self._size = t.size
-
-    def words(self, spark: SparkSession) -> DataFrame:
-        """(word, id) of the words that are one token: at most as many rows as the vocabulary has."""
-        rows = []
-        for i, piece in self.v.pieces.items():
-            try:
-                rows.append((piece.decode(), i)) if self.v.encode_bytes(piece) == [i] else None
-            except UnicodeDecodeError:
-                continue
-        return spark.createDataFrame(pd.DataFrame(rows, columns=["word", "id"]), "word string, id int")
+        at = lambda t, values, none: [values[i] if i >= 0 else none for i in t.slots.tolist()]
+        packed = (v.merge_keys * 65_536 + v.merge_ranks).tolist()
+        # slot -> the merge's two ids and its rank in one number
+        self._merges = (_numbers(v.merge_table.shift.tolist()), _numbers(at(v.merge_table, packed, -1)), v.merge_table.size)
+        self._made = _numbers([i for _, i in v.merges.values()])
+        self._starts = _numbers(v.byte_ids)
+        self._words = (
+            _numbers(v.word_table.shift.tolist()), F.split(F.lit(_BETWEEN.join(at(v.word_table, [w for w, _ in v.words], ""))), _BETWEEN), _numbers(at(v.word_table, [i for _, i in v.words], -1)), v.word_table.size,
+        )
+
+    @staticmethod
+    def _slot(k: Column, shift: Column, size: int) -> Column:
+        return (((k % _P1 + 1) * (2 * F.get(shift, (k % _BUCKETS).cast("int")) + 1) + k % _P2) % size).cast("int")
+
+    def known(self, words: Column) -> Column:
+        """For each of an array of words its id if it is one token, else null."""
+        shift, names, ids, size = self._words
+        slot = lambda w: self._slot(F.xxhash64(w).bitwiseAND(F.lit(_HASH)), shift, size)
+        return F.transform(words, lambda w: _let(slot(w), lambda s: F.when(F.get(names, s) == w, F.get(ids, s).cast("int"))))
 
     def _rank(self, a: Column, b: Column) -> Column:
-        """The rank of merging two ids, null if they don't merge."""
-        def slot(k: Column) -> Column:
-            return ((k % _P1 + 1) * (2 * _read(self._shift, 3, k % _BUCKETS) + 1) + k % _P2) % self._size
+        """The rank of merging two ids, null if they don't merge (or one is null)."""
+        shift, packed, size = self._merges
+
+        def read(k: Column) -> Column:
+            found = F.get(packed, self._slot(k, shift, size))
+            return _let(found, lambda m: F.when(F.shiftright(m, 16) == k, m.bitwiseAND(F.lit(65_535)).cast("int")))
 
-        pair = F.struct((a.cast("bigint") * 65_536 + b).alias("k"))
-        found = _let(pair, lambda p: F.struct(p["k"].alias("k"), slot(p["k"]).alias("s")))
-        return _let(found, lambda f: F.when(_read(self._keys, 4, f["s"]) == f["k"], _read(self._ranks, 2, f["s"])))
+        return _let(a.cast("bigint") * 65_536 + b, read)
 
     def fold(self, word: Column) -> Column:
         """Ids of a word: merges of lowest rank folded over its bytes."""
+        pairs = lambda ids: F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), self._rank)  # noqa: E731, the last one has no partner
+        state = lambda ids, ranks, done: F.struct(ids.alias("ids"), ranks.alias("ranks"), F.lit(done).alias("done"))
 
         def step(acc: Column, _: Column) -> Column:
-            ids = acc["ids"]
-            found = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), self._rank)
+            ids, ranks = acc["ids"], acc["ranks"]
 
             def merge(m: Column) -> Column:
-                place = m["place"]
-                new = F.concat(F.slice(ids, F.lit(1), place - 1), F.array(_read(self._made, 2, m["low"]).cast("int")), F.slice(ids, place + 2, F.size(ids)))
-                return F.when(m["low"].isNull(), F.struct(ids.alias("ids"), F.lit(True).alias("done"))).otherwise(F.struct(new.alias("ids"), F.lit(False).alias("done")))
+                p, new = m["p"], m["new"]
+                around = F.array(F.when(p > 1, self._rank(F.get(ids, p - 2), new)), self._rank(new, F.get(ids, p + 1)))
+                return state(
+                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(new), F.slice(ids, p + 2, F.size(ids))),
+                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), F.slice(around, F.when(p > 1, 1).otherwise(2), F.lit(2)), F.slice(ranks, p + 2, F.size(ranks))), False,
+                )
+
+            def go(low: Column) -> Column:
+                at = F.struct(F.array_position(ranks, low).cast("int").alias("p"), F.get(self._made, low).cast("int").alias("new"))
+                return F.when(low.isNull(), state(ids, ranks, True)).otherwise(_let(at, merge))
 
-            least = _let(found, lambda rs: F.struct(F.array_min(rs).alias("low"), F.array_position(rs, F.array_min(rs)).cast("int").alias("place")))
-            return F.when(acc["done"], acc).otherwise(_let(least, merge))
+            return F.when(acc["done"], acc).otherwise(_let(F.array_min(ranks), go))
 
-        raw = F.encode(word, "UTF-8")
-        first = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: _read(self._starts, 2, F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")).cast("int"))
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.struct(first.alias("ids"), F.lit(False).alias("done")), step, lambda acc: acc["ids"])
+        raw, n = F.encode(word, "UTF-8"), F.octet_length(word)
+        first = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(self._starts, F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")).cast("int"))
+        start = F.get(F.transform(F.array(first), lambda ids: state(ids, pairs(ids), False)), 0)
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["ids"])
 
     def decode(self, ids: DataFrame, record: str, column: str, out: str = "bytes") -> DataFrame:
         """(record, out): the text's bytes, put together from the tokens' binary pieces.
@@ -221,23 +241,27 @@ def encode_corpus(df: DataFrame, text: str, path: str | None = None, ids: str =
     out = fresh(df.columns, ids)
     key = fresh(df.columns, "__k")
     rows = df.withColumn(key, F.when(F.length(col(text)) > 0, F.unhex(F.md5(F.encode(col(text), "UTF-8")))))
-    # Hot texts count once: places are those of distinct texts, and stay partitioned by them.
-    texts = rows.filter(col(key).isNotNull()).groupBy(col(key).alias("k")).agg(F.first(col(text)).alias("t"))
+    texts = rows.filter(col(key).isNotNull()).groupBy(col(key).alias("k")).agg(F.first(col(text)).alias("t"), F.count(F.lit(1)).alias("__n"))
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:  # a small input: adaptive execution would leave all its texts to one task
         texts = texts.repartition(2 * cores, "k")
-    places = texts.select("k", F.posexplode(F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))).alias("pos", "word"))
-    known = F.broadcast(t.words(df.sparkSession))
-    whole = places.join(known, "word").select("k", "pos", F.array("id").alias("part"))
-    odd = cut(places.join(known, "word", "left_anti"))
-    words = odd.select("word").distinct()
+    # Of a text: the ids of its words in order, null for words of several tokens, and those with their places.
+    read = texts.select("k", "__n", F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)).alias("words")).withColumn("a", t.known(F.col("words")))
+    placed = F.transform("words", lambda w, i: F.when(F.get("a", i).isNull(), F.struct(i.alias("pos"), w.alias("word"))))
+    read = cut(read.select("k", "__n", "a", F.filter(placed, lambda x: x.isNotNull()).alias("odd")))
+    odd = read.select("k", F.inline("odd"))
+    words = cut(odd.groupBy("word").agg(F.count(F.lit(1)).alias("__n")))
     n = F.octet_length("word")
-    coded = words.filter(n <= FOLD_BYTES).select("word", t.fold(F.col("word")).alias("part")).unionByName(
-        words.filter(n > FOLD_BYTES).select("word", _long_words(path or default_path())("word").alias("part"))
+    # Encoding a word weighs more than its bytes, so the words are spread by number.
+    each = words.select("word").repartition(2 * cores, "word")
+    coded = each.filter(n <= FOLD_BYTES).select("word", t.fold(F.col("word")).alias("part")).unionByName(
+        each.filter(n > FOLD_BYTES).select("word", _long_words(path or default_path())("word").alias("part"))
     )
-    gather = lambda d, c: d.groupBy("k").agg(F.collect_list(F.struct("pos", "part")).alias(c))
-    parts = gather(whole, "a").join(gather(lookup_salted(odd, coded, "word", "inner"), "b"), "k", "full")
-    none = F.array().cast("array<struct<pos:int,part:array<int>>>")
-    every = F.array_sort(F.concat(F.coalesce("a", none), F.coalesce("b", none)))
-    coded_texts = parts.select(F.col("k").alias(key), F.flatten(F.transform(every, lambda x: x["part"])).alias(out))
-    return lookup_salted(rows, coded_texts, key).withColumn(out, F.coalesce(col(out), F.array().cast("array<int>"))).select(*[col(c) for c in df.columns], col(out))
+    found = lookup_salted(odd, coded, "word", "inner", counts=words).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("o"))
+    # The stretches of known words between the others, and these, in turn.
+    before = lambda i: F.coalesce(F.get("o", i - 1)["pos"], F.lit(-1))
+    joined = F.transform("o", lambda x, i: F.concat(F.slice("a", before(i) + 2, x["pos"] - before(i) - 1), x["part"]))
+    rest = F.slice("a", before(F.size("o")) + 2, F.size("a"))
+    coded_texts = read.select("k", "a").join(found, "k", "left").select(F.col("k").alias(key), F.when(F.col("o").isNull(), F.col("a")).otherwise(F.concat(F.flatten(joined), rest)).alias(out))
+    full = lookup_salted(rows, coded_texts, key, counts=read.select(F.col("k").alias(key), "__n"))
+    return full.withColumn(out, F.coalesce(col(out), F.array().cast("array<int>"))).select(*[col(c) for c in df.columns], col(out))
