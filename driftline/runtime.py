@@ -105,21 +105,21 @@ def lookup_salted(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     spread over salts and the one matching row of ``small``
     is replicated once per salt. A key is hot from ``rows / (2 * partitions)``
     rows, so at most ``2 * partitions`` keys are hot: that list is what gets
-    broadcast. Cold keys keep salt 0; without any hot key the join is a plain one.
+    broadcast. Many rows of a null key, which meet nothing, are spread too. Cold keys keep salt 0; without any hot key the join is a plain one.
     """
     spark = big.sparkSession
     n = partitions(spark)
     if counts is None:
-        counts = big.filter(col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
     floor = max((total or 0) / (2 * n), 10_000)
     if (most or 0) < floor:
         return big.join(small, key, how)
     salts = max(2, n)
-    hot = F.broadcast(counts.filter(F.col("__n") >= floor).select(col(key).alias("__hot")))
+    hot = F.broadcast(counts.filter((F.col("__n") >= floor) & col(key).isNotNull()).select(col(key).alias("__hot")))
     # The salt is a hash of the row, not a random number: a task that runs again after a loss gives the same one.
     own = F.xxhash64(*[col(c) for c, t in big.dtypes if "map<" not in t and "variant" not in t])
-    left = big.join(hot, col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(own, F.lit(salts)).cast("int")))
+    left = big.join(hot, col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNull() & col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(own, F.lit(salts)).cast("int")))
     right = (
         small.join(hot, col(key) == F.col("__hot"), "left")
         .withColumn("__salt", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))))

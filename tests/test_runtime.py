@@ -10,9 +10,27 @@ def test_lookup_with_a_hot_key_equals_a_join(spark):
         got = R.lookup_salted(big, small, "k", how).select("id", "v")
         want = big.join(small, "k", how).select("id", "v")
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        counts = big.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("__n"))
+        assert R.lookup_salted(big, small, "k", how, counts).select("id", "v").exceptAll(want).count() == 0
+        cold = big.filter("k <> 'hot'")
+        assert R.lookup_salted(cold, small, "k", how).count() == cold.join(small, "k", how).count()
+    nulls = big.withColumn("k", F.when(F.col("id") < 100, F.col("k")))
+    assert R.lookup_salted(nulls, small, "k").count() == 30_000
     assert R.lookup_salted(big.limit(0), small, "k").count() == 0
 
 
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    import types
+
+    import pytest
+
+    session = lambda master, named: types.SimpleNamespace(conf={"spark.checkpoint.dir": named}, sparkContext=types.SimpleNamespace(master=master))
+    assert R.shared_folder(session("spark://host:7077", "hdfs:///x")) == "hdfs:///x" and R.shared_folder(session("local[4]", None))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            R.shared_folder(session(master, None))
+
+
 def test_helpers(spark, tmp_path):
     assert R.fresh(["a", "A_1"], "A") == "A_2"
     assert R.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
