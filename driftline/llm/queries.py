@@ -98,7 +98,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     value = lambda c: F.max(F.when(~F.isnan(c), F.col(c))).alias(c)
     statements = table(spark, d, "target_statements").groupBy("pair_index", "path", "line").agg(*[value(c) for c in SCORES[:3]])
     files = table(spark, d, "file_pair_records").groupBy("pair_index", F.col("target_file").alias("path")).agg(value("patch_score"))
-    ranked = rank_walk(statements.join(files, ["pair_index", "path"], "left"), "pair_index", ["path", "line"], SCORES, min_items=20)
+    # Both are cut: the walk counts its groups first, and the sort of the top five samples what it sorts.
+    scored = cut(statements.join(files, ["pair_index", "path"], "left"))
+    ranked = cut(rank_walk(scored, "pair_index", ["path", "line"], SCORES, min_items=20).select("pair_index", "path", "line", "walk_weight"))
     return top_n_per_group(ranked, ["pair_index"], [("walk_weight", "desc"), ("path", "asc"), ("line", "asc")], 5).select("pair_index", "path", "line")
 
 
