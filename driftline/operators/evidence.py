@@ -41,18 +41,31 @@ def symbol_match(text_similarity: Column, intent_symbol: Column, target_symbol:
     )
 
 
-def intent_blocks(intents: DataFrame, symbols: DataFrame, pattern: Column, per_file: int = 2, key: str = "pair_index") -> DataFrame:
-    """(key, path, block, start, end, block_score, intents): target symbols that match source intents.
+def intent_matches(intents: DataFrame, symbols: DataFrame, pattern: Column, per_file: int = 2, key: str = "pair_index") -> DataFrame:
+    """(key, sp, ss, intent, texts, path, name, start_line, end_line, score): each intent's ``per_file`` best symbols per file.
 
-    Each intent keeps its ``per_file`` best symbols per file; a block's score is
-    its best match, .12 more if a deletion supports it. ``intents`` has key,
-    path, symbol, intent, texts; ``symbols`` has key, path, name, start_line, end_line, text.
+    ``intents`` has key, path, symbol, intent, texts; ``symbols`` has key, path, name, start_line, end_line, text.
+    An intent meets the symbols that share a token or the name with it, by equal tokens, never all of its pair.
     """
-    i = intents.select(key, F.col("path").alias("sp"), F.col("symbol").alias("ss"), "intent", F.array_join("texts", "\n").alias("st"))
-    s = symbols.select(key, "path", "name", "start_line", "end_line", F.col("text").alias("tt"), *[c for c in ("pattern",) if c in symbols.columns])
-    pairs = i.join(s, key).withColumn("a", tokens(F.col("st"), TOKEN_WORD)).withColumn("b", tokens(F.col("tt"), TOKEN_WORD)).filter(F.arrays_overlap("a", "b") | (F.col("ss") == F.col("name")))
+    i = intents.select(key, F.col("path").alias("sp"), F.col("symbol").alias("ss"), "intent", "texts", F.array_join("texts", "\n").alias("st")).withColumn("a", tokens(F.col("st"), TOKEN_WORD))
+    s = symbols.select(key, "path", "name", "start_line", "end_line", F.col("text").alias("tt"), *[c for c in ("pattern",) if c in symbols.columns]).withColumn("b", tokens(F.col("tt"), TOKEN_WORD))
+    signs = lambda words, name: F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("t"), w)), F.array(F.concat(F.lit("n"), name)))))
+    own, other = [key, "sp", "ss", "intent"], [key, "path", "name", "start_line"]
+    met = i.select(*own, signs(F.col("a"), F.coalesce("ss", F.lit(""))).alias("sign")).join(s.select(*other, signs(F.col("b"), F.coalesce("name", F.lit(""))).alias("sign")), [key, "sign"]).select(*own, *other[1:]).distinct()
+    pairs = met.join(i, own).join(s, other)
     score = symbol_match(jaccard(F.col("a"), F.col("b")), F.col("ss"), F.col("name"), F.col("a"), F.col("b"), F.col("sp"), F.col("path"), pattern, F.col("tt"))
-    kept = top_k(pairs.withColumn("score", F.round(score, 6)), [key, "sp", "ss", "intent", "path"], [F.col("score").desc(), F.col("start_line")], per_file)
+    return top_k(pairs.withColumn("score", F.round(score, 6)), [key, "sp", "ss", "intent", "path"], [F.col("score").desc(), F.col("start_line")], per_file)
+
+
+def intent_blocks(intents: DataFrame, symbols: DataFrame, pattern: Column, per_file: int = 2, key: str = "pair_index") -> DataFrame:
+    """(key, path, block, start, end, block_score, intents): target symbols that match source intents (see :func:`intent_matches`).
+
+    A block's score is its best match, .12 more if a deletion supports it.
+    """
+    return blocks_of_matches(intent_matches(intents, symbols, pattern, per_file, key), key)
+
+
+def blocks_of_matches(kept: DataFrame, key: str = "pair_index") -> DataFrame:
     per = kept.groupBy(key, "path", F.col("name").alias("block"), F.col("start_line").alias("start"), F.col("end_line").alias("end")).agg(F.max("score").alias("best"), F.max((F.col("intent") == "delete").cast("int")).alias("deletes"), F.count(F.lit(1)).alias("intents"))
     return per.select(key, "path", "block", "start", "end", F.round(F.col("best") + 0.12 * F.col("deletes"), 6).alias("block_score"), "intents")
 
@@ -108,6 +121,12 @@ def final_files(candidates: DataFrame, statements: DataFrame, top: int, key: str
     return top_k(both.groupBy(key, "path").agg(F.max("score").alias("score")), [key], [F.col("score").desc(), F.col("path")], top)
 
 
+# Words that call for a kind of impact.
+TEST_WORDS = ["test", "regression"]
+SYMBOL_WORDS = ["func ", "type ", "var ", "const ", "signature", "rename", "refactor"]
+DELETION_WORDS = ["delete", "remove", "protocol", "handler", "flag", "rpc", "api", "json", "marshal", "import"]
+
+
 def routing(patch: DataFrame, key: str = "pair_index") -> DataFrame:
     """(key, test, symbol, deletion_interface_build): which kinds of impact a patch calls for.
 
@@ -115,9 +134,9 @@ def routing(patch: DataFrame, key: str = "pair_index") -> DataFrame:
     """
     low = F.lower("text")
     return patch.select(
-        key, (F.exists("paths", lambda p: p.contains("_test.") | F.lower(p).contains("/test")) | contains_any(low, ["test", "regression"])).alias("test"),
-        contains_any(low, ["func ", "type ", "var ", "const ", "signature", "rename", "refactor"]).alias("symbol"),
-        contains_any(low, ["delete", "remove", "protocol", "handler", "flag", "rpc", "api", "json", "marshal", "import"]).alias("deletion_interface_build"),
+        key, (F.exists("paths", lambda p: p.contains("_test.") | F.lower(p).contains("/test")) | contains_any(low, TEST_WORDS)).alias("test"),
+        contains_any(low, SYMBOL_WORDS).alias("symbol"),
+        contains_any(low, DELETION_WORDS).alias("deletion_interface_build"),
     )
 
 

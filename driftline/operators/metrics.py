@@ -42,6 +42,23 @@ def statement_metrics(ranked: DataFrame, truth: DataFrame, query: Sequence[str],
     return joined.select(*query, p.alias("precision"), c.alias("coverage"), _f1(p, c).alias("f1"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
+def block_metrics(ranked: DataFrame, truth: DataFrame, query: Sequence[str], k: int, tolerance: int) -> DataFrame:
+    """(query, precision, coverage, f1, rr) of blocks (path, start, end, rank) against anchored statements (path, anchor) within a tolerance.
+
+    A block is right if it holds one anchor; every statement counts, also several of one anchor (``n`` of them).
+    """
+    pred = ranked.filter(F.col("rank") <= k).select(*query, "path", "start", "end", "rank")
+    gt = truth.groupBy(*query, "path", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pred.join(gt, [*query, "path"]).filter(F.col("anchor").between(F.col("start") - tolerance, F.col("end") + tolerance))
+    right = pairs.groupBy(*query).agg(F.count_distinct("rank").alias("right"), F.min("rank").alias("first"))
+    covered = pairs.select(*query, "path", "anchor", "n").distinct().groupBy(*query).agg(F.sum("n").alias("covered"))
+    sizes, blocks = gt.groupBy(*query).agg(F.sum("n").alias("gt")), pred.groupBy(*query).agg(F.count(F.lit(1)).alias("blocks"))
+    joined = sizes.join(blocks, list(query), "left").join(right, list(query), "left").join(covered, list(query), "left").na.fill(0, ["blocks", "right", "covered"])
+    p = F.when(F.col("blocks") > 0, F.col("right") / F.col("blocks")).otherwise(0.0)
+    c = F.col("covered") / F.col("gt")
+    return joined.select(*query, p.alias("precision"), c.alias("coverage"), _f1(p, c).alias("f1"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
+
+
 def macro(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Means of the measures per key; 0 where there is nothing to average."""
     return df.groupBy(*keys).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in measures], F.count(F.lit(1)).alias("queries"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.paths import basename, token_jaccard
-from driftline.functions.seqratio import most_similar, name_similarity
-from driftline.functions.text import TOKEN_ALL, jaccard, meaningful, pattern_score, strip, tokens
+from driftline.functions.seqratio import most_similar
+from driftline.functions.text import meaningful, strip
 from driftline.operators.ranking import top_k
 from driftline.runtime import fan_out
 
@@ -56,44 +56,32 @@ def rank_statements(lines: DataFrame, sources: DataFrame, files: DataFrame, k: i
     return top_k(best.withColumn("score", score).withColumn("similarity", F.round("similarity", 6)), [key], [F.col("score").desc(), F.col("path"), F.col("line")], k)
 
 
-def symbol_scores(sources: DataFrame, targets: DataFrame, pattern: Column, key: str = "pair_index") -> DataFrame:
-    """Per target symbol the best of .34 name + .28 tokens + .14 pattern over source symbols (.24 node types where given).
-
-    Both sides: (key, path, name, text[, ast_types]); without source symbols .35.
-    """
-    from driftline.functions.text import weighted_jaccard
-
-    s = sources.select(key, F.col("name").alias("sn"), F.col("text").alias("st"), *([F.col("ast_types").alias("sa")] if "ast_types" in sources.columns else []))
-    pairs = targets.join(s, key, "left")
-    parts = 0.34 * name_similarity(F.col("sn"), F.col("name")) + 0.28 * jaccard(tokens(F.col("st"), TOKEN_ALL), tokens(F.col("text"), TOKEN_ALL)) + 0.14 * pattern_score(pattern, F.col("text"))
-    if "ast_types" in sources.columns:
-        parts = parts + 0.24 * weighted_jaccard(F.col("sa"), F.col("ast_types"))
-    scored = pairs.withColumn("score", F.when(F.col("sn").isNull(), 0.35).otherwise(parts))
-    return scored.groupBy(key, "path", "name").agg(F.round(F.max("score"), 6).alias("score"))
-
-
 def enclosing(lines: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Lines joined to the ranges (start_line, end_line) that hold them, within equal keys."""
     return lines.join(ranges, keys).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
 
 
 def block_lines(blocks: DataFrame, lines: DataFrame, seeds: DataFrame, per_block: int, key: str = "pair_index") -> DataFrame:
-    """Lines of blocks, scored .34 block + .28 similarity + .20 proximity + .10 support + .08 kind; ``per_block`` best each.
+    """Lines of blocks, scored .34 block + .28 similarity + .20 proximity + .10 support + .08 kind + .04 / (rank + 1); ``per_block`` best each.
 
-    ``seeds`` has per block the seed lines, source texts and module count.
+    ``blocks``: key, path, block, start, end, block_score, rank; ``seeds`` has per block its seed lines (seed_lines), source texts (source_texts)
+    and number of supporting modules (modules).
     """
     from driftline.functions.text import line_kind_score, proximity_score
 
-    joined = lines.join(blocks, [key, "path"]).filter(F.col("line").between(F.col("start"), F.col("end"))).filter(meaningful(strip(F.col("text")))).join(seeds, [key, "path", "block"], "left")
-    texts = F.coalesce("source_texts", F.array().cast("array<string>"))
-    own = tokens(F.col("text"), TOKEN_ALL)
-    similar = F.coalesce(F.array_max(F.transform(texts, lambda t: jaccard(tokens(t, TOKEN_ALL), own))), F.lit(0.0))
+    own = [key, "path", "block", "start"]
+    held = blocks.select(*own, "end").join(lines.filter(meaningful(strip(F.col("text")))), [key, "path"]).filter(F.col("line").between(F.col("start"), F.col("end")))
+    held = held.groupBy(*own).agg(F.collect_list(F.struct("line", F.col("text").alias("line_text"))).alias("ls"))
+    texts, seen = F.coalesce("source_texts", F.array().cast("array<string>")), F.coalesce("seed_lines", F.array().cast("array<int>"))
+    given = blocks.select(*own, "block_score", "rank").join(held, own).join(seeds, own, "left").withColumn("source_texts", texts).withColumn("seed_lines", seen)
+    each = fan_out(given).withColumn("b", most_similar(F.col("ls.line_text"), F.col("source_texts"))).withColumn("x", F.explode(F.arrays_zip("ls", "b")))
+    line, text = F.col("x.ls.line"), F.col("x.ls.line_text")
     score = (
-        0.34 * F.col("block_score") + 0.28 * similar + 0.20 * proximity_score(F.col("line"), F.coalesce("seed_lines", F.array().cast("array<int>")))
-        + 0.10 * F.least(F.coalesce("modules", F.lit(0)) / 4, F.lit(1.0)) + 0.08 * line_kind_score(F.col("text"), texts)
+        0.34 * F.col("block_score") + 0.28 * F.coalesce("x.b.similarity", F.lit(0.0)) + 0.20 * proximity_score(line, F.col("seed_lines"))
+        + 0.10 * F.least(F.coalesce("modules", F.lit(0)) / 3, F.lit(1.0)) + 0.08 * line_kind_score(text, F.col("source_texts")) + 0.04 / (F.col("rank") + 1)
     )
-    scored = joined.select(key, "path", "block", "line", F.round(score, 6).alias("score"))
-    return top_k(scored, [key, "path", "block"], [F.col("score").desc(), F.col("line")], per_block)
+    scored = each.select(key, "path", "block", "start", line.alias("line"), F.round(score, 6).alias("score"))
+    return top_k(scored, own, [F.col("score").desc(), F.col("line")], per_block)
 
 
 def insert_anchors(blocks: DataFrame, key: str = "pair_index") -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.plans import empirical_queries, evidence_queries, ranking_queries, retrieval_queries, stream_queries, text_queries
+from driftline.plans import empirical_queries, evidence_queries, mapping_queries, ranking_queries, retrieval_queries, stream_queries, text_queries
 
-MODULES = [text_queries, empirical_queries, ranking_queries, retrieval_queries, evidence_queries, stream_queries]
+MODULES = [text_queries, empirical_queries, ranking_queries, retrieval_queries, evidence_queries, mapping_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
