@@ -70,13 +70,12 @@ m AS (SELECT side_id, path, t, length(t) n, length(t) - length(regexp_replace(t,
     length(t) - length(regexp_replace(t, '(?:0[xX])?[0-9a-fA-F]{{12,}}', '', 'g')) digits, coalesce(list_sum(list_transform(regexp_extract_all(t, '{_RUNS}'), lambda x: length(x))), 0) encoded,
     regexp_matches(t, '{_Q(G.COMMENT)}') said, {lang} lang
   FROM (SELECT *, regexp_extract(lower(path), '\.([a-z0-9]+)$', 1) ext FROM l WHERE length(t) > 0)),
-d AS (SELECT *, CASE WHEN numbers >= 8 AND besides / greatest(n - white, 1) <= 0.1 OR digits / n >= 0.6 AND n >= 40 OR encoded / n >= 0.5 THEN n ELSE 0 END data,
-    n >= {_of_language(G.MINIFIED, 0)} AND white / n <= {_of_language(G.MINIFIED, 1)} AND word / n <= 0.85 AS dense FROM m),
-a AS (SELECT side_id, path, any_value(lang) lang, sum(n) n, sum(data) data, sum(CASE WHEN dense AND data = 0 THEN n ELSE 0 END) dense,
+d AS (SELECT *, CASE WHEN numbers >= 8 AND besides / greatest(n - white, 1) <= 0.1 OR digits / n >= 0.6 AND n >= 40 OR encoded / n >= 0.5 THEN n ELSE 0 END data FROM m),
+a AS (SELECT side_id, path, any_value(lang) lang, sum(n) n, max(n) longest, avg(n) mean, sum(white) white, sum(word) word, sum(data) data,
     bool_or(said AND regexp_matches(t, '{_Q(G.GENERATED)}')) gen, bool_or(said AND regexp_matches(t, '{_Q(G.COPIED)}')) cop FROM d GROUP BY 1, 2)
 SELECT side_id, path, CASE WHEN {is_(G.PLACES)} THEN 'vendored by place' WHEN {is_(G.NAMES)} THEN 'generated by name' WHEN {is_(G.MINIFIED_NAMES)} THEN 'minified by name' WHEN {is_(G.NO_CODE)} THEN NULL
-  WHEN gen THEN 'generated by header' WHEN cop THEN 'vendored by header' WHEN data >= {_of_language(G.DATA, 1)} AND data / n >= {_of_language(G.DATA, 0)} THEN 'data by layout'
-  WHEN dense > 0 AND dense / n >= {_of_language(G.MINIFIED, 2)} THEN 'minified by layout' END reason
+  WHEN gen THEN 'generated by header' WHEN cop THEN 'vendored by header' WHEN data >= {G.DATA[1]} AND data / n >= {G.DATA[0]} THEN 'data by layout'
+  WHEN longest >= {_of_language(G.MINIFIED, 0)} AND mean >= {_of_language(G.MINIFIED, 1)} AND white / n <= {_of_language(G.MINIFIED, 2)} AND word / n <= {_of_language(G.MINIFIED, 3)} THEN 'minified by layout' END reason
 FROM f LEFT JOIN a USING (side_id, path)"""
 
 

@@ -6,6 +6,7 @@ FILES = {
     "a/v.c": (["/*! lib v1.2.3 | bundled third-party library */"], "vendored by header"), "a/mock_q.go": (["// Mock of the q, written by hand."], None), "README.md": (["<!-- do not edit -->"], None),
     "a/t_data.py": (["{ 0x0e, 0x58, 0x34, 0xef }, # small", "    f.append(9)"], None), "a/bytes.go": (["var d = []byte{", ", ".join(f"0x{i:02x}" for i in range(60)) + ","], "data by layout"), "a/blob.ts": (['const d = "' + "aB3+/" * 60 + '"'], "data by layout"),
     "a/rows.py": (['{"a":"0x5241ccd2428882ce6d03ea1d399b82fc25db486956","b":"562225077757588495"},'] * 3, "data by layout"), "a/min.js": (["!function(i,p){e.g=i}(this,0);" * 20], "minified by layout"),
+    "a/min.py": (["def f(x):return[i for i in x if i%2==0]and(lambda a:a+1)(x)"], None), "a/min.ts": (["e.f=function(a,b){return a*b}," * 9, "//# x"], "minified by layout"),
     "a/long.ts": (['throw new Error("' + "the peer did not answer in time " * 12 + '")'], None), "a/plain.go": (["x := a*b + c*3", None, "", "return nil, err"], None), "a/none.go": ([], None),
 }
 
