@@ -102,3 +102,8 @@ def split_share(f: DataFrame) -> DataFrame:
     """Pairs and their share, by type, by direction and in all (grouping sets)."""
     per = f.cube("direction", "change_type").agg(F.count(F.lit(1)).alias("pairs"), F.grouping_id().alias("level"))
     return per.withColumn("share", F.round(F.col("pairs") / F.sum("pairs").over(Window.partitionBy("level")), 6))
+
+
+def log_place(value, most: float, left: float = 0.0, width: float = 1.0):
+    """Where a value stands on an axis of log10(v + 1) from ``left`` over ``width``, ``most`` being its end."""
+    return F.lit(float(left)) + F.lit(float(width)) * F.log10(value + 1) / F.log10(F.lit(float(max(most, 1.0)) + 1))

@@ -42,6 +42,15 @@ def later_change_score(file_overlap: Column, patch_similarity: Column, message_s
     return F.round(0.38 * file_overlap + 0.37 * patch_similarity + 0.15 * message_similarity + 0.10 * share, 6)
 
 
+def best_changes(scored: DataFrame, source: list[str], date: str, change: list[str], least: float = 0.1, top: int = 10) -> DataFrame:
+    """Per source the later changes of score ``least`` or more: order (-score, date, change), ``top`` of them.
+
+    ``scored`` has source, change, date and score; a change without a date comes after those of its score that have one.
+    """
+    order = [F.col("score").desc(), F.col(date).asc_nulls_last(), *[F.col(c) for c in change]]
+    return top_k(scored.filter(F.col("score") >= least), source, order, top)
+
+
 def overlap_coefficient(a: Column, b: Column) -> Column:
     """Common values over the smaller set; 0 if one is empty."""
     least = F.least(F.size(a), F.size(b))

@@ -49,16 +49,17 @@ def round_robin(df: DataFrame, keys: Sequence[str], group: Sequence[str], order:
 
     Groups take turns in the order of their first row, or of ``by_score`` (best first).
     """
-    place = df.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     own = Window.partitionBy(*keys, *group)
-    turn = place.withColumn("__turn", F.row_number().over(own.orderBy("__pos")))
-    turn = turn.withColumn("__first", F.min("__pos").over(own))
-    sort = [F.col("__turn"), F.col("__first")]
+    turn = df
     if by_score is not None:
         turn = turn.withColumn("__best", F.max(by_score).over(own))
-        sort = [F.col("__turn"), F.col("__best").desc(), F.col("__first")]
+    # No group gives more than ``top`` rows, so that is cut before the key's rows come together.
+    turn = turn.withColumn("__turn", F.row_number().over(own.orderBy(*order))).filter(F.col("__turn") <= top)
     if cap is not None:
         turn = turn.filter(F.col("__turn") <= cap)
+    turn = turn.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    turn = turn.withColumn("__first", F.min("__pos").over(own))
+    sort = [F.col("__turn"), *([F.col("__best").desc()] if by_score is not None else []), F.col("__first")]
     return top_k(turn, keys, sort, top, rank).drop("__pos", "__turn", "__first", "__best")
 
 
@@ -84,21 +85,16 @@ def source_quota(exact: DataFrame, pool: DataFrame, key: str, top: int) -> DataF
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source_order", "score", "path"], ascending=[True, False, True])
-        taken: list[str] = []
-        for p in pdf.loc[pdf["exact"], "path"]:
-            if p not in taken:
-                taken.append(p)
+        taken = dict.fromkeys(pdf.loc[pdf["exact"], "path"])  # in order, each once
         rest = pdf[~pdf["exact"]]
         sources = pdf["source_order"].unique()
         for s in sources:
             unseen = next((p for p in rest.loc[rest["source_order"] == s, "path"] if p not in taken), None)
             if unseen is not None:
-                taken.append(unseen)
-        for p in rest.sort_values(["score", "path"], ascending=[False, True])["path"]:
-            if p not in taken:
-                taken.append(p)
-        taken = taken[: max(top, len(sources))]
-        return pd.DataFrame({key: pdf[key].iloc[0], "path": taken, "rank": range(1, len(taken) + 1)})
+                taken[unseen] = None
+        taken.update(dict.fromkeys(rest.sort_values(["score", "path"], ascending=[False, True])["path"]))
+        kept = list(taken)[: max(top, len(sources))]
+        return pd.DataFrame({key: pdf[key].iloc[0], "path": kept, "rank": range(1, len(kept) + 1)})
 
     both = exact.withColumn("exact", F.lit(True)).unionByName(pool.withColumn("exact", F.lit(False)))
     return both.groupBy(key).applyInPandas(choose, schema)

@@ -5,13 +5,17 @@ Pairs are formed within a pair_index (equi join), never across the table.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.paths import basename, dirname, extension, is_test_or_data, norm_path, path_tokens, stem
 from driftline.functions.seqratio import path_score
-from driftline.functions.text import TOKEN_WORD, clone_tokens, dice_jaccard, dice_jaccard_of, jaccard
-from driftline.functions.vectors import dot, unit
+from driftline.functions.text import TOKEN_WORD, clone_tokens, dice_jaccard_of, jaccard
+from driftline.functions.vectors import unit
 from driftline.operators.ranking import reciprocal, top_k
 from driftline.runtime import fan_out
 
@@ -136,13 +140,13 @@ def clone_topk(queries: DataFrame, documents: DataFrame, query: str, doc: str, k
     return top_k(scored, ["q"], [F.col("score").desc(), F.col("d")], k).select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
 
 
-CHUNKS, WIDTHS, CHUNK_CHARS = 80, (3, 6), 24_000
+CHUNKS, WIDTHS = 80, (3, 6)
 
 
-def clone_chunks(files: DataFrame, keys: list[str], text: str = "text", limit: int = CHUNKS) -> DataFrame:
+def clone_chunks(files: DataFrame, keys: list[str], text: str = "text", limit: int | None = CHUNKS) -> DataFrame:
     """(keys, chunk, tokens): lines of three tokens or more, then windows of 3 and 6 non-blank lines without overlap of five or more.
 
-    Of more than ``limit`` chunks, ``limit`` are taken at even distances.
+    Of more than ``limit`` chunks, ``limit`` are taken at even distances, as the reference method has it; None takes all.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     single = F.filter(F.transform(lines, lambda x: clone_tokens(x)), lambda t: F.size(t) >= 3)
@@ -154,7 +158,7 @@ def clone_chunks(files: DataFrame, keys: list[str], text: str = "text", limit: i
     base = files.select(*keys, lines.alias("ls"), single.alias("one"))
     every = base.select(*keys, F.concat("one", *[windows(w) for w in WIDTHS]).alias("cs"))
     n = F.size("cs")
-    picked = F.when(n <= limit, F.col("cs")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get("cs", F.floor(i * n / limit).cast("int"))))
+    picked = F.col("cs") if limit is None else F.when(n <= limit, F.col("cs")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.get("cs", F.floor(i * n / limit).cast("int"))))
     return every.select(*keys, F.posexplode(picked).alias("chunk", "tokens"))
 
 
@@ -170,22 +174,39 @@ def clone_chunk_scores(sources: DataFrame, targets: DataFrame, key: str = "pair_
     return common.withColumn("s", dice_jaccard_of(F.col("c"), F.col("na"), F.col("nb"))).groupBy(key, "path").agg(F.round(F.max("s"), 6).alias("score"))
 
 
+#: Vectors of a block of :func:`vector_topk`.
+BLOCK = 1024
+
+
+def _block_best(query: str, k: int):
+    def best(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for qi, qv, vi, vv in zip(f["qi"], f["qv"], f["vi"], f["vv"], strict=True):
+                scores = np.round(np.stack(qv) @ np.stack(vv).T, 6)
+                scores[np.asarray(qi)[:, None] == np.asarray(vi)[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(np.asarray(vi), scores.shape), -scores))[:, :k]
+                rows, places = np.repeat(np.arange(len(qi)), order.shape[1]), order.ravel()
+                found = scores[rows, places]
+                keep = np.isfinite(found)
+                yield pd.DataFrame({"query_id": np.asarray(qi)[rows][keep], query: np.asarray(vi)[places][keep], "score": found[keep]})
+
+    return best
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """Exact top k by cosine, ties to the smallest id: (query_id, id, score, rank).
 
-    ``queries`` is the stated query set, held against all vectors in blocks: it is
-    broadcast, and every block of vectors keeps its k best per query before anything is shuffled.
+    ``queries`` is the stated query set, held against all vectors in blocks of about ``BLOCK``: two blocks meet in one
+    matrix product, which keeps its k best per query before anything is shuffled. Nothing is broadcast by hint. Null vectors take no part.
     """
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("qv")))
-    scored = vectors.select(F.col(id_col), unit(F.col(vector)).alias("v")).join(q, F.col(id_col) != F.col("query_id")).select("query_id", id_col, F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col(id_col)], k)
-
-
-def rerank(candidates: DataFrame, texts: DataFrame, source: DataFrame, k: int, key: str = "pair_index") -> DataFrame:
-    """.72 clone similarity of whole texts + .28 prefilter score, of a prefiltered pool."""
-    joined = candidates.join(texts.select(key, "path", "text"), [key, "path"]).join(source.select(key, F.col("text").alias("source_text")), key)
-    score = 0.72 * dice_jaccard(clone_tokens(F.col("source_text")), clone_tokens(F.col("text"))) + 0.28 * F.col("score")
-    return top_k(joined.select(key, "path", F.round(score, 6).alias("score")), [key], _order(), k)
+    def blocks(d: DataFrame, i: str, v: str) -> DataFrame:
+        n = -(-max(d.count(), 1) // BLOCK)
+        packed = d.filter(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("__b"))
+        return packed.agg(F.collect_list(F.struct(F.col(id_col).cast("bigint").alias("i"), unit(F.col(vector)).alias("v"))).alias("x")).select(F.col("x.i").alias(i), F.col("x.v").alias(v))
+
+    met = fan_out(blocks(vectors, "vi", "vv")).crossJoin(blocks(queries, "qi", "qv"))
+    found = met.mapInPandas(_block_best(id_col, k), f"query_id bigint, {id_col} bigint, score double")
+    return top_k(found, ["query_id"], [F.col("score").desc(), F.col(id_col)], k)
 
 
 def terms_of(statements: DataFrame, key: str = "pair_index") -> DataFrame:

@@ -16,9 +16,11 @@ from driftline.operators import ranking as R
 from driftline.operators import retrieval as T
 from driftline.operators import statements as S
 from driftline.operators import symbols as Y
+from driftline.operators.empirical import parse_time
 from driftline.plans.common import RANKED_FILES, STATEMENTS, files_sql, ranked_files, ranked_statements, side_files, statements, strip_sql, tidy_sql
 from driftline.plans.text_queries import _PT, _TOK, _TOK3
 from driftline.runtime import table
+from driftline.sources import bronze as B
 
 
 def _sources(spark, d):
@@ -379,6 +381,24 @@ def later_change_scores(spark, d):
     return j.select("pair_index", score.alias("score")).filter("score >= 0.1")
 
 
+def later_changes(spark, d):
+    """For every source repository its ten likeliest later changes, best first."""
+    side = table(spark, d, "sides").groupBy("pair_index", "role").agg(F.min_by(F.struct("repo", "merged_at"), "side_id").alias("x"))
+    of = lambda role, *cols: side.filter(F.col("role") == role).select("pair_index", *cols)
+    scored = later_change_scores(spark, d).join(of("Source", F.col("x.repo").alias("repo")), "pair_index").join(of("Infestor", parse_time(F.col("x.merged_at")).alias("merged")), "pair_index", "left")
+    return H.best_changes(scored, ["repo"], "merged", ["pair_index"]).select("repo", "pair_index", "score", "rank")
+
+
+def tree_files(spark, d):
+    """How many files, and plain Go sources, the repositories' trees hold by what the sides name."""
+    tree = _tree(spark, d).filter("repo is not null").select("repo", F.lit("head").alias("sha"), "path", F.lit("blob").alias("type"))
+    count = lambda df, n: df.groupBy("repo").agg(F.count(F.lit(1)).alias(n))
+    return count(B.tree_paths(tree), "files").join(count(B.plain_go_paths(tree), "plain_go"), "repo", "left").na.fill(0, ["plain_go"])
+
+
+SQL_TREE_FILES = f"SELECT repo, count(*) AS files, count(*) FILTER (ends_with(path, '.go') AND NOT ends_with(path, '_test.go') AND NOT ends_with(path, '.pb.go') AND NOT ends_with(path, '_generated.go')) AS plain_go FROM {_TREE} WHERE repo IS NOT NULL GROUP BY 1"
+
+
 _MWT = r"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(title, ''), '[A-Za-z_][A-Za-z0-9_]{2,}|\d+'), lambda x: lower(x))), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "))"
 SQL_HISTORY_SCORE = f"""
 WITH s AS (SELECT pair_index, list(path) a FROM {_S} GROUP BY 1), t AS (SELECT pair_index, list(path) b FROM {_T} GROUP BY 1), m AS (SELECT DISTINCT pair_index, role, {_MWT} w FROM sides),
@@ -456,6 +476,8 @@ QUERIES = {
     "history_scan": (history_scan, SQL_SCAN),
     "history_score": (history_score, SQL_HISTORY_SCORE),
     "later_change_scores": (later_change_scores, None),
+    "later_changes": (later_changes, None),
+    "tree_files": (tree_files, SQL_TREE_FILES),
     "resume_pending": (resume_pending, "SELECT DISTINCT pair_index FROM target_files ANTI JOIN target_statements USING (pair_index)"),
     "judged_files": (judged_files, None),
     "search_traces": (search_traces, SQL_TRACE),

@@ -114,6 +114,36 @@ def file_at(tree: DataFrame, blobs: DataFrame, limit: int | None = 250_000) -> D
     return rows.select("repo", "sha", "path", "text")
 
 
+def tree_paths(tree: DataFrame) -> DataFrame:
+    """(repo, sha, path): the files of snapshots, without directories and submodules."""
+    return tree.filter("type = 'blob'").select("repo", "sha", "path")
+
+
+def plain_go_paths(tree: DataFrame) -> DataFrame:
+    """Of those the Go sources that are no tests and not made by a tool, by their names."""
+    from driftline.functions.paths import is_plain_go
+
+    return tree_paths(tree).filter(is_plain_go(F.col("path")))
+
+
+def file_patch(wanted: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` (keys, path) with the patch of the file of that name, '' where the change has none."""
+    first = files.groupBy(*keys, F.col("filename").alias("path")).agg(F.max("patch").alias("patch"))
+    return wanted.join(first, [*keys, "path"], "left").withColumn("patch", F.coalesce("patch", F.lit("")))
+
+
+def api_url(base: str, path: Column) -> Column:
+    """The address of a path below a service, its parts escaped."""
+    parts = F.transform(F.split(path, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.array_join(parts, "/"))
+
+
+def pull_pages(requests: DataFrame, counts: DataFrame, keys: list[str], per_page: int = 100) -> DataFrame:
+    """(keys, page): the pages that list a change's files, one request each, so that they are fetched apart."""
+    n = F.greatest(F.lit(1), F.ceil(F.col("files") / per_page)).cast("int")
+    return requests.select(*keys).distinct().join(counts, keys).select(*keys, F.explode(F.sequence(F.lit(1), n)).alias("page"))
+
+
 def documents_of(files: DataFrame, chars: int) -> DataFrame:
     """A file as one text: its path, a line end, its beginning."""
     return files.withColumn("document", F.concat_ws("\n", "path", F.substring("text", 1, chars)))

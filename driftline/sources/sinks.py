@@ -41,15 +41,18 @@ def show_number(v: object) -> str:
 
 
 def markdown_table(title: str, df: DataFrame, limit: int = 1000) -> str:
-    """An aggregate table of at most ``limit`` rows as Markdown."""
-    rows = df.limit(limit).collect()
+    """An aggregate table as Markdown; beyond ``limit`` rows (it is a page to read) it says that more were left out."""
+    rows = df.limit(limit + 1).collect()
+    rows, more = rows[:limit], len(rows) > limit
     head = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join(show_number(r[c]) for c in df.columns) + " |" for r in rows]) + "\n"
+    return "\n".join(head + ["| " + " | ".join(show_number(r[c]) for c in df.columns) + " |" for r in rows] + (["", f"The first {limit} rows."] if more else [])) + "\n"
 
 
 def bar_chart(title: str, df: DataFrame, label: str, value: str, width: int = 640, limit: int = 40) -> str:
-    """An aggregate of at most ``limit`` rows as an SVG bar chart."""
-    rows = df.select(F.col(label).cast("string"), F.col(value).cast("double")).limit(limit).collect()
+    """An aggregate as an SVG bar chart; beyond ``limit`` bars its title says that more were left out."""
+    rows = df.select(F.col(label).cast("string"), F.col(value).cast("double")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        rows, title = rows[:limit], f"{title} (first {limit})"
     top = max([r[1] or 0 for r in rows], default=0) or 1
     parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{24 * len(rows) + 40}"><text x="8" y="20">{escape(title)}</text>']
     for i, r in enumerate(rows):
