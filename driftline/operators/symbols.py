@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.paths import extension, node_id
-from driftline.functions.text import TOKEN_WORD, strip, text_lines
+from driftline.functions.text import TOKEN_WORD, meaningful, strip, text_lines
 
 # What begins a declaration.
 DECLARATION = r"(?U)^\s*(func|type|var|const)\s+(?:(\([^)]*\))\s*)?([A-Za-z_][A-Za-z0-9_]*)"
@@ -113,8 +113,8 @@ def upsert_nodes(nodes: DataFrame, seq: str) -> DataFrame:
 
 
 def statement_nodes(lines: DataFrame, symbols: DataFrame, cap: int) -> DataFrame:
-    """Statements within each symbol, the first ``cap`` by line: (repo, path, symbol, line, text)."""
-    ranked = lines.join(symbols.select("repo", "path", F.col("name").alias("symbol"), "start_line", "end_line"), ["repo", "path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    ranked = ranked.filter(F.size(F.regexp_extract_all("text", F.lit(TOKEN_WORD), F.lit(0))) >= 2)
+    """Lines within each symbol that read like statements, the first ``cap`` by line: (repo, path, symbol, line, text)."""
+    told = lines.withColumn("text", strip(F.col("text"))).filter(meaningful(F.col("text"), 2, TOKEN_WORD))
+    ranked = told.join(symbols.select("repo", "path", F.col("name").alias("symbol"), "start_line", "end_line"), ["repo", "path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     w = Window.partitionBy("repo", "path", "symbol", "start_line").orderBy("line")
     return ranked.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= cap).select("repo", "path", "symbol", "line", "text")

@@ -14,7 +14,7 @@ from driftline.operators import retrieval as T
 from driftline.operators import search as H
 from driftline.operators import statements as S
 from driftline.operators import symbols as Y
-from driftline.plans.common import RANKED_FILES, RANKED_STATEMENTS, STATEMENTS, TRUTH_RANGES, files_sql, ranked_files, ranked_statements, side_files, statements, truth_ranges
+from driftline.plans.common import RANKED_FILES, RANKED_STATEMENTS, STATEMENTS, TRUTH_RANGES, files_sql, ranked_files, ranked_statements, side_files, statements, strip_sql, truth_ranges
 from driftline.plans.ranking_queries import SQL_BLOCKS
 from driftline.plans.retrieval_queries import SQL_TOKEN_TOPK, token_file_topk
 from driftline.plans.text_queries import _PT, _TOK
@@ -259,7 +259,22 @@ def search_tree(spark, d):
     return H.search_tree(_plan(spark, d))
 
 
+def symbol_statements(spark, d):
+    """The first twelve statements of every target symbol, as nodes of the structure graph have them."""
+    named = lambda df: df.withColumn("repo", F.col("pair_index").cast("string"))
+    n = Y.statement_nodes(named(_lines(spark, d)), named(_target_symbols(spark, d)), 12)
+    return n.select(F.col("repo").cast("int").alias("pair_index"), "path", "symbol", "line", "text")
+
+
+SQL_SYMBOL_STATEMENTS = rf"""
+WITH l AS (SELECT pair_index, path, line, {strip_sql('min(line_text)')} text FROM target_statements WHERE pair_index IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL AND line_text IS NOT NULL GROUP BY ALL),
+s AS (SELECT pair_index, path, target_symbol symbol, min(line) a, max(line) b FROM target_statements WHERE target_symbol IS NOT NULL AND path IS NOT NULL AND line_text IS NOT NULL GROUP BY ALL),
+r AS (SELECT l.pair_index, l.path, symbol, line, text, row_number() OVER (PARTITION BY l.pair_index, l.path, symbol, a ORDER BY line) k FROM l JOIN s ON s.pair_index = l.pair_index AND s.path = l.path AND l.line BETWEEN a AND b
+  WHERE NOT (text = '' OR text IN ('{{', '}}', '}},', ');') OR starts_with(text, '//') OR starts_with(text, '*')) AND len(regexp_extract_all(text, '{_TOK}')) >= 2)
+SELECT pair_index, path, symbol, line, text FROM r WHERE k <= 12"""
+
 QUERIES = {
+    "symbol_statements": (symbol_statements, SQL_SYMBOL_STATEMENTS),
     "symbol_ranking": (symbol_ranking, None),
     "symbol_lines": (symbol_lines, None),
     "expanded_blocks": (expanded_blocks, None),

@@ -33,9 +33,18 @@ def pair_schema() -> T.StructType:
     ])
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of pairs by its fixed schema; values that don't fit become null."""
-    return spark.read.schema(pair_schema()).json(path, multiLine=True)
+def read_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pairs by their fixed schema; values that don't fit become null.
+
+    A JSON array is one task a file, however large; with ``lines`` the files hold a pair a line
+    (see :func:`to_lines`) and are split like any other.
+    """
+    return spark.read.schema(pair_schema()).json(path, multiLine=not lines)
+
+
+def to_lines(spark: SparkSession, path: str, out: str) -> None:
+    """Once for large inputs: JSON arrays written again with a pair a line."""
+    read_pairs(spark, path).write.mode("overwrite").json(out)
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:

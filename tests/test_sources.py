@@ -8,7 +8,10 @@ def test_pairs_and_issue_resolution(spark, tmp_path):
     side = {"project": "o_r", "type": "issue", "issue_number": 7, "title": "", "merged_at": "2020-01-01T00:00:00Z", "resolved_by": {"type": "pr", "number": "9", "merged_sha": "abc", "title": "t", "file_names": ["x"]}}
     bad = {"project": "o_r", "type": "pr"}
     (tmp_path / "p.json").write_text(json.dumps([{"pair_index": 1, "Source": side, "Infestor": side | {"file_names": []}}, {"pair_index": 2, "Source": side, "Infestor": bad}]))
+    bronze.to_lines(spark, str(tmp_path / "p.json"), str(tmp_path / "lines"))
+    again = bronze.sides_of(bronze.read_pairs(spark, str(tmp_path / "lines"), lines=True))
     rows = bronze.sides_of(bronze.read_pairs(spark, str(tmp_path / "p.json"))).collect()
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows))
     assert {(r.pair_index, r.role, r.kind, r.number, r.title, tuple(r.file_names)) for r in rows} == {(1, "Source", "pr", "9", "t", ("x",)), (1, "Infestor", "pr", "9", "t", ("x",))}
 
 
