@@ -118,6 +118,27 @@ def chunk_retrieval(spark, d):
     return R.top_k(T.clone_chunk_scores(side("Source"), side("Infestor")), ["pair_index"], [F.col("score").desc(), F.col("path")], 5)
 
 
+_TOKENS = lambda c: rf"""list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace({c}, '"(?:\\.|[^"\\])*"|`[^`]*`|\b\d+\b', ' LIT ', 'g'), '{_TOK}'), lambda y: lower(y)), lambda y: length(y) >= 2))"""
+_WINDOWS = lambda w: f"list_filter(list_transform(range(1, greatest(len(ls), 1) + 1, {w}), lambda s: {_TOKENS(f'array_to_string(ls[s:s + {w - 1}], chr(10))')}), lambda t: len(t) >= 5)"
+
+
+def _chunks_sql(keys: str, source: str) -> str:
+    """(keys, cs): the chunks of each text of a table, as lists of tokens."""
+    return f"""(SELECT {keys}, CASE WHEN len(cs) <= 80 THEN cs ELSE list_transform(range(0, 80), lambda i: cs[(i * len(cs)) // 80 + 1]) END cs FROM (
+  SELECT {keys}, list_concat(list_concat(list_filter(list_transform(ls, lambda x: {_TOKENS('x')}), lambda t: len(t) >= 3), {_WINDOWS(3)}), {_WINDOWS(6)}) cs FROM (
+    SELECT {keys}, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') ls FROM {source})) WHERE len(cs) > 0)"""
+
+
+SQL_CHUNK_COUNTS = f"SELECT doc_id, len(cs) AS chunks, (len(cs) - 1)::INT AS last, list_sum(list_transform(cs, lambda t: len(t)))::BIGINT AS tokens FROM {_chunks_sql('doc_id', '(SELECT doc_id, text FROM documents WHERE length(text) > 0)')}"
+_MEANS = lambda x: f"(text IS NOT NULL AND NOT ({x} = '' OR {x} IN ('{{', '}}', '}},', ');') OR starts_with({x}, '//') OR starts_with({x}, '*')) AND len(regexp_extract_all({x}, '{_TOK3}')) >= 3)"
+_SHOWN_TEXT = lambda role: f"(SELECT pair_index, path, string_agg(text, chr(10) ORDER BY ord, line_no, text) AS text FROM {STATEMENTS} WHERE side = '{role}' AND {_MEANS('text')} GROUP BY ALL)"
+_UNFOLD = lambda role: f"(SELECT pair_index, path, n, len(c) size, unnest(c) t FROM (SELECT pair_index, path, unnest(cs) c, unnest(range(0, len(cs))) n FROM {_chunks_sql('pair_index, path', _SHOWN_TEXT(role))}))"
+SQL_CHUNK_RETRIEVAL = f"""
+WITH c AS (SELECT a.pair_index, a.path sp, a.n sn, b.path, b.n tn, a.size na, b.size nb, count(*) c FROM {_UNFOLD('Source')} a JOIN {_UNFOLD('Infestor')} b ON a.pair_index = b.pair_index AND a.t = b.t GROUP BY ALL),
+m AS (SELECT pair_index, path, round(max(0.6::DOUBLE * (2.0::DOUBLE * c / (na + nb)) + 0.4::DOUBLE * (c::DOUBLE / (na + nb - c))), 6) score FROM c GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY pair_index ORDER BY score DESC, path)::INT AS rank FROM m QUALIFY rank <= 5"""
+
+
 def path_score_topk(spark, d):
     """Five target files of a pair by their best path score."""
     return T.rank_files(_sources(spark, d), _targets(spark, d), 5)
@@ -143,6 +164,16 @@ def neighbour_files(spark, d):
     return T.neighbours(ranked, _targets(spark, d), _sources(spark, d))
 
 
+_EXTENSION = lambda c: rf"regexp_extract({_B(c)}, '\.([^.]*)$', 1)"
+_STEM = lambda c: rf"regexp_replace(regexp_replace(regexp_replace(lower({_B(c)}), '\.[^.]*$', ''), '_test$', ''), '-test$', '')"
+_TESTS = lambda c: rf"regexp_matches(lower({c}), '_test\.|/test/|/tests/|/testdata/|/fixture|\.(?:snap|golden|out|rlp|hex)$')"
+SQL_NEIGHBOURS = f"""
+WITH c AS (SELECT pair_index, path, score, rank FROM {RANKED_FILES} WHERE method = 'agent'), n AS (SELECT DISTINCT pair_index, {_B('path')} name FROM {_S}),
+p AS (SELECT c.pair_index, t.path, c.score, c.path AS near FROM c JOIN {_T} t ON t.pair_index = c.pair_index AND {_D('t.path')} = {_D('c.path')} AND {_EXTENSION('t.path')} = {_EXTENSION('c.path')} AND t.path <> c.path WHERE rank <= 20),
+k AS (SELECT p.pair_index, p.path, round(max(score) * 0.92::DOUBLE, 6) AS score FROM p LEFT JOIN n ON n.pair_index = p.pair_index AND n.name = {_B('p.path')} WHERE n.name IS NOT NULL OR ({_STEM('p.path')} = {_STEM('p.near')} AND {_TESTS('p.path')} <> {_TESTS('p.near')}) GROUP BY ALL)
+SELECT * FROM k ANTI JOIN c USING (pair_index, path)"""
+
+
 def source_terms(spark, d):
     t = T.terms_of(statements(spark, d).filter("side = 'Source'"))
     return t.select("pair_index", F.array_join("terms", " ").alias("terms"))
@@ -451,13 +482,13 @@ QUERIES = {
     "judgement_records": (judgement_records, SQL_JUDGEMENTS),
     "clone_retrieval": (clone_retrieval, SQL_CLONE),
     "clone_retrieval_all": (clone_retrieval_all, None),
-    "chunk_counts": (chunk_counts, None),
-    "chunk_retrieval": (chunk_retrieval, None),
+    "chunk_counts": (chunk_counts, SQL_CHUNK_COUNTS),
+    "chunk_retrieval": (chunk_retrieval, SQL_CHUNK_RETRIEVAL),
     "path_score_topk": (path_score_topk, None),
     "prefilter_topk": (prefilter_topk, None),
     "high_recall_topk": (high_recall_topk, None),
     "companion_files": (companion_files, None),
-    "neighbour_files": (neighbour_files, None),
+    "neighbour_files": (neighbour_files, SQL_NEIGHBOURS),
     "source_terms": (source_terms, SQL_TERMS),
     "cosine_topk": (cosine_topk, SQL_COSINE),
     "label_vectors": (label_vectors, SQL_LABELS),
