@@ -59,4 +59,4 @@ def test_empty(spark):
 def test_plan_reaches_its_recall():
     for n in (10, 10**4, 10**7):
         bits, segments, radius = plan(n, 0.6, 0.999)
-        assert 1 - (1 - 0.8**bits) ** segments >= 0.999 and 25 < radius < 50
+        assert 1 - (1 - 0.8**bits) ** segments >= 0.999 and 38 < radius < 75
