@@ -175,7 +175,9 @@ class Tokenizer:
 
     def fold(self, word: Column) -> Column:
         """Ids of a word: merges of lowest rank folded over its bytes."""
-        pairs = lambda ids: F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), self._rank)  # noqa: E731, the last one has no partner
+        ranked = lambda ps: F.transform(ps, lambda x: self._rank(x["a"], x["b"]))
+        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        pairs = lambda ids: ranked(F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), pair))  # noqa: E731, the last one has no partner
         state = lambda ids, ranks, done: F.struct(ids.alias("ids"), ranks.alias("ranks"), F.lit(done).alias("done"))
 
         def step(acc: Column, _: Column) -> Column:
@@ -183,10 +185,10 @@ class Tokenizer:
 
             def merge(m: Column) -> Column:
                 p, new = m["p"], m["new"]
-                around = F.array(F.when(p > 1, self._rank(F.get(ids, p - 2), new)), self._rank(new, F.get(ids, p + 1)))
+                around = ranked(F.slice(F.array(pair(F.get(ids, p - 2), new), pair(new, F.get(ids, p + 1))), F.when(p > 1, 1).otherwise(2), F.lit(2)))
                 return state(
                     F.concat(F.slice(ids, F.lit(1), p - 1), F.array(new), F.slice(ids, p + 2, F.size(ids))),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), F.slice(around, F.when(p > 1, 1).otherwise(2), F.lit(2)), F.slice(ranks, p + 2, F.size(ranks))), False,
+                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), around, F.slice(ranks, p + 2, F.size(ranks))), False,
                 )
 
             def go(low: Column) -> Column:
