@@ -35,6 +35,8 @@ from driftline.runtime import blank, col, cut, lookup_salted, spread
 
 #: Bytes or characters by which a cut value may miss its limit (a split character, its replacement).
 SLACK = 3
+#: All white space that Unicode knows.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Beginnings of words are written out up to so many characters.
 BLOCK = 40
 #: Kinds of ending and what is assumed of them (complete, cut), in texts, before the corpus is counted.
@@ -145,7 +147,7 @@ def _plain(text: Column) -> Column:
     """Numbers, hashes, names with inner capitals or underscores and paths as one sign each."""
     for pattern, sign in (
         (r"https?://\S+", "URL"), (r"\b(?:0x)?(?=[0-9a-f]{6,}+\b)(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]++", "HEX"), (r"\d++", "0"),
-        (r"\b[A-Za-z]++(?:_[A-Za-z]++)+\b|\b[A-Za-z][a-z]++(?:[A-Z][a-z]++)+\b", "ID"), (r"\b[A-Za-z_]++(?:/[A-Za-z_]++)+\b", "PATH"),
+        (r"\b(?:[A-Za-z]++(?:_[A-Za-z]++)+|[A-Za-z][a-z]++(?:[A-Z][a-z]++)+)\b", "ID"), (r"\b[A-Za-z_]++(?:/[A-Za-z_]++)+\b", "PATH"),
     ):
         text = F.regexp_replace(text, pattern, sign)
     return text
@@ -219,18 +221,21 @@ def cut_probability(df: DataFrame, record: str, text: str, source: str) -> DataF
     judged alike, each by itself; texts of any length are read whole; extra columns are ignored; an empty input
     gives an empty result.
     """
-    body = F.regexp_replace(F.regexp_replace(col(text), "�+$", ""), r"(?U)\s+$", "")
+    body = F.rtrim(F.rtrim(col(text), F.lit("�")), F.lit(WHITE))
     docs = spread(df).filter(~blank(col(text))).select(
         col(record).alias("r"), col(source).alias("source"), body.alias("t"), F.xxhash64(col(text)).alias("h"),
         F.length(col(text)).cast("bigint").alias("chars"), F.octet_length(col(text)).cast("bigint").alias("bytes"),
     )
-    marked = F.col("t").rlike(_MARK)
+    # What stands at the end is looked for there alone; a mark, or the quotes behind a sentence, are shorter than this.
+    end = F.right("t", F.lit(200))
+    marked = end.rlike(_MARK)
     fences = F.size(F.regexp_extract_all("t", F.lit(r"(?m)^[ \t]*(```+|~~~+)"), F.lit(0)))
-    ends = F.col("t").rlike("[.。!?！？][\"'”’)\\]]*$")
+    ends = end.rlike("[.。!?！？][\"'”’)\\]]*$")
     kind = F.when(fences % 2 == 1, "open").when(marked, "marked").when(ends, "sentence").when(F.substring_index("t", "\n", -1).rlike(r"^\s*(```|~~~)"), "closed")
-    stops = F.size(F.regexp_extract_all("t", F.lit(r"(?:[.!?](?=\s|$)|[。！？])"), F.lit(0)))
+    counted = lambda sign: (F.length("t") - F.length(F.replace("t", F.lit(sign), F.lit("")))) / len(sign)
+    stops = sum((counted(m + w) for m in ".!?" for w in " \n"), ends.cast("int") + F.length("t") - F.length(F.translate("t", "。！？", ""))).cast("int")
     # All that is read of a text, once.
-    docs = cut(docs.select("r", "source", "h", "chars", "bytes", kind.alias("kind"), fences.alias("fences"), stops.alias("stops"), F.col("t").rlike(_NOTE).alias("note"), _plain(F.col("t")).alias("plain")))
+    docs = cut(docs.select("r", "source", "h", "chars", "bytes", kind.alias("kind"), fences.alias("fences"), stops.alias("stops"), end.rlike(_NOTE).alias("note"), _plain(F.col("t")).alias("plain")))
     found = cut(limits(docs).withColumn("lid", F.monotonically_increasing_id()))
     lines = docs.select(F.split("plain", "\n").alias("lines"))
     # What the last line looks like; of a marked text, without the mark.
