@@ -11,6 +11,10 @@ last the original sets are compared exactly, so no false pair comes out.
 
 Equal sets are merged into one class first; pairs are found between class
 representatives.
+
+Joins are by sorting: Spark estimates a table's size from its file and counts
+an array as one element, so that it would take the unfolded segments, some
+hundred rows a set, for small and broadcast them through the driver.
 """
 
 from __future__ import annotations
@@ -96,7 +100,7 @@ def classes(df: DataFrame, record: str, values: str, min_size: int = 1) -> DataF
     sets = df.filter(col(record).isNotNull()).select(col(record).alias("id"), clean.alias("s")).filter(F.size("s") >= max(1, min_size))
     sets = sets.groupBy("id").agg(F.min("s").alias("s")).withColumn("k", F.sha2(F.to_json("s"), 256))
     reps = sets.groupBy("k").agg(F.min("id").alias("rep"))
-    return cut(lookup_salted(sets, reps, "k", "inner").select("id", "rep", "s"))
+    return cut(lookup_salted(sets, reps.hint("merge"), "k", "inner").select("id", "rep", "s"))
 
 
 def _close(radius: int, threshold: float) -> Column:
@@ -124,9 +128,9 @@ def similar_sets(member: DataFrame, threshold: float, other: DataFrame | None =
     if other is None:
         near = near & (F.col("l.rep") < F.col("r.rep"))
     # A segment that very many records share is split on both sides by adaptive execution, which leaves no task with all its pairs.
-    found = unfold(left).alias("l").join(unfold(right).alias("r"), (F.col("l.key") == F.col("r.key")) & near).select(F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b")).distinct()
+    found = unfold(left).alias("l").join(unfold(right).alias("r").hint("merge"), (F.col("l.key") == F.col("r.key")) & near).select(F.col("l.rep").alias("rep_a"), F.col("r.rep").alias("rep_b")).distinct()
     found = cut(found)
-    sets = lambda d, a, s: d.filter("id = rep").select(F.col("rep").alias(a), F.col("s").alias(s))
+    sets = lambda d, a, s: d.filter("id = rep").select(F.col("rep").alias(a), F.col("s").alias(s)).hint("merge")
     with_sets = found.join(sets(member, "rep_a", "sa"), "rep_a").join(sets(member if other is None else other, "rep_b", "sb"), "rep_b")
     common = F.size(F.array_intersect("sa", "sb"))
     return with_sets.withColumn("jaccard", common / (F.size("sa") + F.size("sb") - common)).filter(F.col("jaccard") >= threshold).select("rep_a", "rep_b", "jaccard")
@@ -136,15 +140,15 @@ def links_per_record(member: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, rep, links): every record with its class and the number of other records its set is similar to."""
     sizes = member.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     both = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(pairs.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")))
-    outside = both.join(sizes, both.b == sizes.rep).groupBy("a").agg(F.sum("n").alias("out"))
-    per = sizes.join(outside, sizes.rep == outside.a, "left").select("rep", (F.col("n") - 1 + F.coalesce("out", F.lit(0))).alias("links"))
-    return lookup_salted(member.select("id", "rep"), per, "rep", "inner").select("id", "rep", "links")
+    outside = both.join(sizes.hint("merge"), both.b == sizes.rep).groupBy("a").agg(F.sum("n").alias("out"))
+    per = sizes.join(outside.hint("merge"), sizes.rep == outside.a, "left").select("rep", (F.col("n") - 1 + F.coalesce("out", F.lit(0))).alias("links"))
+    return lookup_salted(member.select("id", "rep"), per.hint("merge"), "rep", "inner").select("id", "rep", "links")
 
 
 def expand(member: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records: the class pairs multiplied out, and the pairs within a class."""
     m = member.select("id", "rep")
     a, b = m.select(F.col("id").alias("x"), F.col("rep").alias("rep_a")), m.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"))
-    across = pairs.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    inside = m.alias("l").join(m.alias("r"), (F.col("l.rep") == F.col("r.rep")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
+    across = pairs.select("rep_a", "rep_b").join(a.hint("merge"), "rep_a").join(b.hint("merge"), "rep_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    inside = m.alias("l").join(m.alias("r").hint("merge"), (F.col("l.rep") == F.col("r.rep")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
     return across.unionByName(inside)

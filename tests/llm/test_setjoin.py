@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm.setjoin import classes, expand, links_per_record, plan, similar_sets
+from driftline.runtime import cut
 
 
 def brute(sets, t):
@@ -51,6 +52,25 @@ def test_between_two_tables(spark, data):
     assert all(x < 40 <= y for x, y in got)
 
 
+def test_nothing_is_broadcast_by_an_estimate(spark, data, tmp_path, monkeypatch):
+    from driftline.llm import setjoin
+
+    data[1].write.parquet(f"{tmp_path}/t")  # a file has a size, which estimates start from
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(setjoin, "cut", seen)
+    member = classes(spark.read.parquet(f"{tmp_path}/t"), "id", "names", 3)
+    pairs = similar_sets(member, 0.6)
+    for df in (expand(member, pairs), links_per_record(member, pairs)):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    # The tables are tiny: every join without a hint is a broadcast one.
+    assert sum("SortMergeJoin" in p for p in plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_empty(spark):
     member = classes(spark.createDataFrame([], "id bigint, names array<string>"), "id", "names")
     assert similar_sets(member, 0.6).count() == 0
