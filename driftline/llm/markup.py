@@ -287,16 +287,96 @@ def _paragraph(root: Node, text: str, clean, kind: str = "p") -> None:
     node.children += [Node("formula", next(g for g in m.groups() if g)) for m in MATH.finditer(re.sub(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", "", text, flags=re.S))]
 
 
-def parse_markdown(text: str) -> Node:
+_DELIMITER = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-+:?\s*)+\|?\s*$")
+_MARKERS = re.compile(r"(?:(?:[-*+]|\d{1,9}[.)])[ \t]+)+(?=\S)")
+_SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
+#: Levels of quotes within quotes that are kept apart; the signs of deeper ones are taken off at once.
+LEVELS = 20
+
+
+def _indent(line: str) -> int:
+    """The column of the first sign."""
+    return len(line[: len(line) - len(line.lstrip(" \t"))].expandtabs(4))
+
+
+def _outdent(line: str, columns: int) -> str:
+    """Without as many columns of leading blanks."""
+    return " " * max(0, _indent(line) - columns) + line.lstrip(" \t")
+
+
+def _starts_block(line: str) -> bool:
+    """Ends an open paragraph, so that it is no further line of a quote or a table."""
+    return any(p.match(line) for p in (_MD_ITEM, _ATX, _FENCE, _RULE, _HTML_START)) or line.startswith(("$$", ">"))
+
+
+def _fenced(lines: list[str], i: int, mark: str, at: int, base: int) -> tuple[list[str], int]:
+    """The lines of the fenced code that begins at line i, and the line behind it.
+
+    Within an item (``base`` is its column) code without a closing fence ends with
+    the item; code that stands out of the item up to its fence is still whole.
+    """
+    closes = re.compile(rf"^[ \t]{{0,{base + 3}}}{re.escape(mark[0])}{{{len(mark)},}}\s*$")
+    end, out = i, None
+    while end < len(lines) and not closes.match(lines[end].rstrip("\r")):
+        if base and lines[end].strip() and _indent(lines[end]) < base:
+            out = end if out is None else out
+            if _starts_block(lines[end]):
+                break
+        end += 1
+    closed = end < len(lines) and closes.match(lines[end].rstrip("\r"))
+    if not closed and out is not None:
+        end = out
+    body = [_outdent(x, min(at, _indent(x))) if at else x for x in lines[i:end]]
+    return body, end + 1 if closed else end
+
+
+def _quoted(lines: list[str], i: int, depth: int) -> tuple[list[str], int]:
+    """The lines of the quote that begins at line i, without its signs, and the line behind it.
+
+    A line without a sign belongs to it if it continues a quoted paragraph.
+    """
+    inner: list[str] = []
+    fenced = paragraph = False
+    while i < len(lines):
+        line = lines[i].rstrip("\r").lstrip(" \t")
+        if line.startswith(">"):
+            inner.append(re.sub(r"^>[ \t]?" if depth < LEVELS else r"^[ \t>]*>[ \t]?", "", line))
+            bare = line.lstrip("> \t")
+            fenced ^= bare.startswith(("```", "~~~"))
+            paragraph = bool(bare) and not fenced and not any(p.match(bare) for p in (_ATX, _FENCE, _RULE)) and not bare.startswith(("|", "$$"))
+        elif line.strip() and paragraph and not _starts_block(line):
+            inner.append(line)
+        else:
+            break
+        i += 1
+    return inner, i
+
+
+def _table(rows: list[str]) -> Node:
+    table = Node("table")
+    for k, row in enumerate(rows):
+        if k == 1 and not row.strip("|:- \t"):
+            continue
+        for cell in re.split(r"(?<!\\)\|", row):
+            if cell.strip():
+                _paragraph(table, cell.strip().replace("\\|", "|"), clean_markdown)
+    return table
+
+
+def parse_markdown(text: str, depth: int = 0) -> Node:
+    """The tree of a text. Quotes and tables hold their parts, of which :func:`elements` takes none."""
     root = Node("root")
-    lines = _blank_comments(text).split("\n")
+    lines = (text if depth else _blank_comments(text)).split("\n")
     i, para, item = 0, [], None  # item: the lines of the open list item
+    columns: list[int] = []  # where the text of the open items, each within the one before, begins
+    closing = max((k for k, x in enumerate(lines) if "$$" in x), default=-1)
 
     def flush() -> None:
         nonlocal item
         if item is not None:
             own = re.sub(r"^\[[ xX]\]\s+", "", "\n".join(item).strip())
-            _paragraph(listed, own, clean_markdown, "item")
+            if own:
+                _paragraph(listed, own, clean_markdown, "item")
             item = None
         if para:
             _paragraph(root, "\n".join(para), clean_markdown)
@@ -305,43 +385,58 @@ def parse_markdown(text: str) -> Node:
     listed = Node("list")
     gap = True
     while i < len(lines):
-        line = lines[i].rstrip("\r")
-        if m := _FENCE.match(line):
-            flush()
-            mark, body = m[1], []
-            i += 1
-            while i < len(lines) and not re.match(rf"^ {{0,3}}{re.escape(mark[0])}{{{len(mark)},}}\s*$", lines[i].rstrip("\r")):
-                body.append(lines[i])
-                i += 1
-            root.add(Node("code", "\n".join(body)))
-            i, gap = i + 1, True
-            continue
-        if not line.strip():
+        whole = lines[i].rstrip("\r")
+        if not whole.strip():
             if para or item is not None:
                 flush()
             gap = True
             i += 1
             continue
-        if line.strip() == "$$" or (line.strip().startswith("$$") and "$$" not in line.strip()[2:]):
+        at, own = _indent(whole), whole.strip()
+        around = [c for c in columns if c <= at]
+        base = around[-1] if around else 0
+        line = _outdent(whole, base)  # as it stands in its item
+        indented = at - base >= 4
+        in_list = bool(root.children) and root.children[-1] is listed
+        m = _MD_ITEM.match(line)
+        if f := _FENCE.match(line):
+            flush()
+            columns = around
+            body, i = _fenced(lines, i + 1, f[1], at, base)
+            root.add(Node("code", "\n".join(body)))
+            gap = True
+            continue
+        if indented and gap and not para and item is None and not (m and in_list):
             flush()
-            body = [line.strip()[2:]]
+            columns, body = around, []
+            while i < len(lines) and (not lines[i].strip() or _indent(lines[i]) >= base + 4):
+                body.append(_outdent(lines[i], base + 4))
+                i += 1
+            root.add(Node("code", "\n".join(body)))
+            gap = True
+            continue
+        # Without another $$ it is no formula; behind a $$ that a paragraph left open it ends that one.
+        if own.startswith("$$") and "$$" not in own[2:] and closing > i and _SPAN.sub("", "\n".join(para or item or ())).count("$$") % 2 == 0:
+            flush()
+            columns, body = around, [own[2:]]
             i += 1
-            while i < len(lines) and "$$" not in lines[i]:
+            while "$$" not in lines[i]:
                 body.append(lines[i])
                 i += 1
-            if i < len(lines):
-                body.append(lines[i].split("$$")[0])
-            root.add(Node("formula", "\n".join(body)))
-            i, gap = i + 1, True
+            last, rest = lines[i].split("$$", 1)
+            root.add(Node("formula", "\n".join([*body, last])))
+            if rest.strip():
+                para.append(rest.strip())
+            i, gap = i + 1, not rest.strip()
             continue
-        if _HTML_START.match(line) and not para:
+        if _HTML_START.match(line):
             flush()
-            body = []
-            if m := re.match(r"^ {0,3}<(pre|script|style)\b", line, re.I):
+            columns, body = around, []
+            if f := re.match(r"^ {0,3}<(pre|script|style)\b", line, re.I):
                 while i < len(lines):
                     body.append(lines[i])
                     i += 1
-                    if re.search(rf"</{m[1]}\s*>", body[-1], re.I):
+                    if re.search(rf"</{f[1]}\s*>", body[-1], re.I):
                         break
             else:
                 while i < len(lines) and lines[i].strip():
@@ -350,16 +445,17 @@ def parse_markdown(text: str) -> Node:
             part = root.add(parse_html("\n".join(body)))
             part.kind, gap = "block", True
             continue
-        if line.lstrip().startswith(">"):
+        if own.startswith(">"):
             flush()
-            root.add(Node("quote", line.lstrip()[1:]))
-            i, gap = i + 1, True
-            while i < len(lines) and lines[i].strip() and (lines[i].lstrip().startswith(">") or not (_MD_ITEM.match(lines[i]) or _ATX.match(lines[i]) or _FENCE.match(lines[i]))):
-                i += 1
+            columns = around
+            inner, i = _quoted(lines, i, depth)
+            root.add(Node("quote")).children = parse_markdown("\n".join(inner), depth + 1).children
+            gap = True
             continue
-        if (m := _ATX.match(line)) and not line.startswith("    "):
+        if f := _ATX.match(line):
             flush()
-            _paragraph(root, m[1] or "", clean_markdown, "heading")
+            columns = around
+            _paragraph(root, f[1] or "", clean_markdown, "heading")
             i, gap = i + 1, True
             continue
         if para and item is None and _SETEXT.match(line):
@@ -369,38 +465,43 @@ def parse_markdown(text: str) -> Node:
             continue
         if _RULE.match(line):
             flush()
+            columns = around
             i, gap = i + 1, True
             continue
-        if re.match(r"^\s*\|", line) or (i + 1 < len(lines) and "|" in line and re.match(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-+:?\s*)+\|?\s*$", lines[i + 1])):
+        if (own[0] == "|" and own[-1] == "|" and len(own) > 1) or (i + 1 < len(lines) and "|" in line and _DELIMITER.match(lines[i + 1])):
             flush()
-            while i < len(lines) and "|" in lines[i]:
+            columns, rows = around, [own]
+            i += 1
+            while i < len(lines) and "|" in lines[i] and not _starts_block(lines[i].strip()):
+                rows.append(lines[i].strip())
                 i += 1
-            root.add(Node("table"))
+            root.add(_table(rows))
             gap = True
             continue
-        m = _MD_ITEM.match(line)
-        indented = len(line) - len(line.lstrip()) >= 4
-        in_list = bool(root.children) and root.children[-1] is listed
-        if m and (m[2] or "").strip() and not (para and item is None and re.match(r"\s*\d", line) and not re.match(r"\s*1[.)]", line)) and (not indented or in_list or item is not None):
-            if not in_list:
-                flush()
-                listed = root.add(Node("list"))
+        if m and ((m[2] or "").strip() or not para) and not (para and item is None and re.match(r"\s*\d", line) and not re.match(r"\s*1[.)]", line)) and (not indented or in_list or item is not None):
             flush()
-            item = [m[2]]
+            if not (root.children and root.children[-1] is listed):
+                listed = root.add(Node("list"))
+            mark = re.match(r"\d*.", own)[0]
+            text = own[len(mark) :].lstrip(" \t")
+            pad = _indent(own[len(mark) :])
+            columns = [*around, at + len(mark) + (pad if text and pad <= 4 else 1)]
+            if f := _MARKERS.match(text):  # items that begin in one line are one
+                text = text[f.end() :]
+            if text and (_FENCE.match(text) or text.startswith(">")):
+                lines[i] = " " * columns[-1] + text
+                gap = True
+                continue
+            item = [text] if text else []
             i, gap = i + 1, False
             continue
-        if indented and gap and not in_list and not para:
+        if item == [] and (not around or around != columns):
             flush()
-            body = []
-            while i < len(lines) and (not lines[i].strip() or lines[i].startswith(("    ", "\t"))):
-                body.append(lines[i])
-                i += 1
-            root.add(Node("code", "\n".join(body)))
-            continue
         if item is not None:
-            item.append(line.strip())
+            item.append(own)
         else:
-            para.append(line.strip())
+            columns = columns if para else around
+            para.append(own)
         gap = False
         i += 1
     flush()
@@ -408,26 +509,39 @@ def parse_markdown(text: str) -> Node:
 
 
 def _blank_comments(text: str) -> str:
-    """Without HTML comments, but for those in fenced code."""
+    """Without HTML comments, but for those in fenced code and code spans."""
     out, fence = [], None
-    inside = False
-    for line in text.split("\n"):
+    inside = listed = False
+    lines = text.split("\n")
+    last = max((k for k, x in enumerate(lines) if "-->" in x), default=-1)
+    for k, line in enumerate(lines):
         if inside:
             if "-->" not in line:
                 continue
             line = line.split("-->", 1)[1]
             inside = False
-        m = _FENCE.match(line.rstrip("\r"))
+        listed = listed or bool(_MD_ITEM.match(line))
+        m = _FENCE.match(line.strip() if listed else line.rstrip("\r"))
         if fence is None and m:
             fence = m[1]
         elif fence is not None:
             if m and m[1].startswith(fence) and not m[2].strip():
                 fence = None
-        else:
-            line = re.sub(r"<!--.*?-->", "", line)
-            if "<!--" in line:
-                line = line.split("<!--", 1)[0]
-                inside = True
+        elif "<!--" in line:
+            kept, at = [], 0
+            for c in re.finditer(r"(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)|<!--(.*?-->)?", line):
+                if c[1]:
+                    continue
+                if c[2] is None:
+                    # One that never ends is a comment only where it begins its line.
+                    inside = last > k or not line[: c.start()].strip()
+                    if not inside:
+                        continue
+                kept.append(line[at : c.start()])
+                at = len(line) if inside else c.end()
+                if inside:
+                    break
+            line = "".join(kept) + line[at:]
         out.append(line)
     return "\n".join(out)
 
@@ -437,22 +551,53 @@ def _blank_comments(text: str) -> str:
 _W_HEAD = re.compile(r"^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$")
 
 
+def _cells(cells: Iterable[str], held: list[Node], clean) -> Node:
+    """A table of these cells, which may hold marks of held nodes."""
+    table = Node("table")
+    for cell in cells:
+        for k, part in enumerate(re.split(f"{_KEEP}(\\d+){_KEEP}", cell)):
+            if k % 2:
+                table.add(held[int(part)])
+            elif part.strip():
+                _paragraph(table, part.strip(), clean)
+    return table
+
+
+def _wiki_cells(source: str) -> list[str]:
+    cells: list[str] = []
+    for line in source.split("\n")[1:]:
+        line = line.strip()
+        if line.startswith(("|", "!")):
+            sign, line = line[0], "" if line.startswith(("|-", "|}")) else line[1:].removeprefix("+")
+            cells += [re.sub(r"^[^|\[\]{}]*=[^|\[\]{}]*\|", "", c) for c in re.split(r"\|\||!!" if sign == "!" else r"\|\|", line)]
+        elif cells:
+            cells[-1] += "\n" + line
+    return cells
+
+
 def parse_wiki(text: str) -> Node:
-    root = Node("root")
+    """The tree of a text. Quotes and tables hold their parts, of which :func:`elements` takes none."""
     held: list[Node] = []
 
     def keep(node: Node) -> str:
         held.append(node)
         return f"\n{_KEEP}{len(held) - 1}{_KEEP}\n"
 
+    def reduced(text: str) -> str:
+        text = re.sub(r"<blockquote\b[^>]*>(.*?)(?:</blockquote\s*>|\Z)", lambda m: keep(_wiki_blocks(Node("quote"), reduced(re.sub(r"<blockquote\b[^>]*>", "\n", m[1], flags=re.I)), held)), text, flags=re.S | re.I)
+        text = re.sub(r"<table\b[^>]*>(.*?)(?:</table\s*>|\Z)", lambda m: keep(_cells(re.split(r"(?i)</?(?:table|caption|t[rdh]|thead|tbody|tfoot)\b[^>]*>", m[1]), held, clean_wiki)), text, flags=re.S | re.I)
+        text = re.sub(r"(?:<ref[^>/]*/>|<ref[^>]*>.*?</ref>)[ \t]*", "", text, flags=re.S | re.I)
+        return re.sub(r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", lambda m: keep(_cells(_wiki_cells(m[0]), held, clean_wiki)), text, flags=re.S | re.M)
+
     text = text.replace(_KEEP, "")
     text = re.sub(r"<(syntaxhighlight|source)\b[^>]*>(.*?)(?:</\1\s*>|\Z)", lambda m: keep(Node("code", m[2])), text, flags=re.S | re.I)
     text = re.sub(r"<pre\b[^>]*>(.*?)(?:</pre\s*>|\Z)", lambda m: keep(Node("code", html.unescape(m[1]))), text, flags=re.S | re.I)
     text = COMMENT.sub("", text)
-    text = re.sub(r"<blockquote\b[^>]*>.*?(?:</blockquote\s*>|\Z)", "\n", text, flags=re.S | re.I)
-    text = re.sub(r"<table\b[^>]*>.*?(?:</table\s*>|\Z)", "\n", text, flags=re.S | re.I)
-    text = re.sub(r"(?:<ref[^>/]*/>|<ref[^>]*>.*?</ref>)[ \t]*", "", text, flags=re.S | re.I)
-    text = re.sub(r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", "", text, flags=re.S | re.M)
+    return _wiki_blocks(Node("root"), reduced(text), held)
+
+
+def _wiki_blocks(root: Node, text: str, held: list[Node]) -> Node:
+    """``root`` with the blocks of a text; marks in it stand for held nodes."""
     para: list[str] = []
     listed = Node("list")
 
@@ -498,7 +643,7 @@ def parse_wiki(text: str) -> Node:
 
 
 def parse_latex(text: str) -> Node:
-    root = Node("root")
+    """The tree of a text. Quotes and tables hold their parts, of which :func:`elements` takes none."""
     held: list[Node] = []
 
     def keep(node: Node) -> str:
@@ -508,10 +653,28 @@ def parse_latex(text: str) -> Node:
     text = text.replace(_KEEP, "").replace("\r\n", "\n")
     text = re.sub(r"\\begin\{(verbatim\*?|lstlisting|minted|Verbatim|alltt)\}(?:\[[^\]]*\])?(?:(?<=minted\})\{[^}]*\})?(.*?)(?:\\end\{\1\}|\Z)", lambda m: keep(Node("code", m[2])), text, flags=re.S)
     text = re.sub(r"(?<!\\)%[^\n]*", "", text)
-    text = re.sub(r"\\begin\{(quote|quotation|tabular\*?|table\*?|longtable|comment|thebibliography)\}.*?(?:\\end\{\1\}|\Z)", "\n\n", text, flags=re.S)
+    return _latex_blocks(Node("root"), _latex_reduced(text, held, keep), held)
+
+
+def _latex_reduced(text: str, held: list[Node], keep) -> str:
+    """The text with marks for its quotes, tables and displayed formulas."""
+
+    def part(m: re.Match) -> str:
+        if m[1] in ("comment", "thebibliography"):
+            return "\n\n"
+        if m[1].startswith("quot"):
+            return keep(_latex_blocks(Node("quote"), _latex_reduced(re.sub(r"\\(?:begin|end)\{quot(?:e|ation)\}", "\n\n", m[2]), held, keep), held))
+        rows = re.sub(rf"^\[[^\]]*\]|\\begin\{{tabular\*\}}{_ARG}(?:\[[^\]]*\])?{_ARG}|\\begin\{{(?:tabular|longtable)\}}(?:\[[^\]]*\])?(?:{_ARG})?|\\(?:end|cline|cmidrule){_ARG}|\\(?:hline|(?:top|mid|bottom)rule|centering)(?![A-Za-z])", "", m[2] if m[1].startswith("table") else m[0])
+        return keep(_cells(re.split(r"(?<!\\)&|\\\\(?:\[[^\]]*\])?", re.sub(rf"\\caption(?:\[[^\]]*\])?{_ARG}", r"\1 & ", rows)), held, clean_latex))
+
+    text = re.sub(r"\\begin\{(quote|quotation|tabular\*?|table\*?|longtable|comment|thebibliography)\}(.*?)(?:\\end\{\1\}|\Z)", part, text, flags=re.S)
     text = re.sub(r"\\begin\{(equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|displaymath|math)\}(.*?)(?:\\end\{\1\}|\Z)", lambda m: keep(Node("formula", re.sub(rf"\\label{_ARG}", "", m[2]))), text, flags=re.S)
     text = re.sub(r"\\\[(.+?)\\\]", lambda m: keep(Node("formula", m[1])), text, flags=re.S)
-    text = re.sub(r"(?<!\\)\$\$(.+?)\$\$", lambda m: keep(Node("formula", m[1])), text, flags=re.S)
+    return re.sub(r"(?<!\\)\$\$(.+?)\$\$", lambda m: keep(Node("formula", m[1])), text, flags=re.S)
+
+
+def _latex_blocks(root: Node, text: str, held: list[Node]) -> Node:
+    """``root`` with the blocks of a text; marks in it stand for held nodes."""
     token = re.compile(rf"\\(?:part|chapter|(?:sub){{0,2}}section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?{_ARG}|\\begin\{{(?:itemize|enumerate|description)\}}(?:\[[^\]]*\])?|\\end\{{(?:itemize|enumerate|description)\}}|\\item(?:\[[^\]]*\])?(?![A-Za-z])|{_KEEP}(\d+){_KEEP}|\n[ \t]*\n")
 
     def add(source: str, kind: str, to: Node) -> None:
@@ -708,7 +871,7 @@ def elements(text: str) -> list[tuple[str, str]]:
 
 
 def clean_text(text: str) -> str:
-    """The whole main text, one line per block; headings, items, code and formulas among it."""
+    """The whole main text, one line per block; headings, items, code and formulas among it, and what stands in quotes and tables."""
     kind = markup_of(text)
     if kind is None:
         return squeeze(text)
@@ -716,7 +879,7 @@ def clean_text(text: str) -> str:
     marks = {"heading": "# ", "item": "- "}
 
     def walk(node: Node) -> None:
-        if node.kind in ("table", "skip"):
+        if node.kind == "skip":
             return
         shown = squeeze(node.text)
         if shown:

@@ -1,6 +1,6 @@
 import pytest
 
-from driftline.llm.markup import clean_documents, clean_title, elements, marked_elements, markup_of
+from driftline.llm.markup import clean_documents, clean_text, clean_title, elements, marked_elements, markup_of
 
 CASES = {
     "markdown": (
@@ -68,6 +68,38 @@ def test_short_parts_and_single_references_stay(text, want):
     assert elements(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("# T\n\n> # one\n> - two\ngoes on\n> > three\n> ```\n> x = 1\n> ```\n\n| a | b |\n|---|---|\n| `c` | **d** \\| e |\n", "# T\n# one\n- two goes on\nthree\n```\nx = 1\n```\na\nb\nc\nd | e"),
+    ("<h1>T</h1><blockquote><p>one</p></blockquote><table><tr><td>a<td>b</tr></table>", "# T\none\na\nb"),
+    ("== T ==\n'''x''' [[P|q]]\n<blockquote>\none\n* two\n</blockquote>\n{| class=\"k\"\n|+ cap\n! h !! i\n|-\n| style=\"s\" | a || [[P|b]]\nmore\n|}\n", "# T\nx q\none\n- two\ncap\nh\ni\na\nb more"),
+    ("\\section{T}\n\\begin{quote}one\n\\begin{itemize}\\item two\\end{itemize}\\end{quote}\n\\begin{table}[h]\\caption{Cap}\\begin{tabular}{l|r}\\hline a & b \\\\ c \\& d & e \\\\\\end{tabular}\\end{table}\n\\begin{tabular*}{\\textwidth}{ll}f & g\\end{tabular*}\n", "# T\none\n- two\nCap\na\nb\nc & d\ne\nf\ng"),
+])
+def test_quotes_and_tables_are_text_but_no_elements(text, want):
+    assert clean_text(text) == want and elements(text) == [("heading", "T")]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("# T\n\n> # q\nThe bound $x_1$ holds.", [("heading", "T"), ("formula", "x_1")]),  # no paragraph goes on behind a quoted heading
+    ("# T\n\n    > run\n    | sort\n", [("heading", "T"), ("code_block", "> run | sort")]),
+    ("- ```\n  x\n- a\n\n1. ```\ny\n   ```\n2. b\n", [("code_block", "x"), ("list_item", "a"), ("code_block", "y"), ("list_item", "b")]),
+    ("10. ten\n\n    ```go\n    x := 1\n    ```\n    - deep\n", [("list_item", "ten"), ("code_block", "x := 1"), ("list_item", "deep")]),
+    ("- ```\n  y\n  ```\n- a\n\n      z\n\n  more\n\n    - deep\n", [("code_block", "y"), ("list_item", "a"), ("code_block", "z"), ("list_item", "deep")]),
+    ("- a\n-\n  late\n- - inner\n", [("list_item", "a"), ("list_item", "late"), ("list_item", "inner")]),
+    ("# T\n\n$$ unclosed\n- kept\n", [("heading", "T"), ("list_item", "kept")]),
+    ("$$\na\n$$ where $b$ is\n- c\n", [("formula", "a"), ("formula", "b"), ("list_item", "c")]),
+    ("So $$\na\n$$ and\n# T\n", [("formula", "a"), ("heading", "T")]),
+    ("# T\n\n|x| < 1 for $y_1$\n\n| a | b |\n|---|---|\n- c | d\n", [("heading", "T"), ("formula", "y_1"), ("list_item", "c | d")]),
+    ("Write `<!--` for\n\n- kept\n\nor <!-- alone\n# T\n", [("list_item", "kept"), ("heading", "T")]),
+    ("# T\ntext\n<ul><li>one</ul>\n", [("heading", "T"), ("list_item", "one")]),
+])
+def test_markdown_parts_that_meet_others_are_found(text, want):
+    assert sorted(elements(text)) == sorted(want)
+
+
+def test_deep_quotes():
+    assert clean_text("# T\n\n" + ">" * 5000 + " x\n") == "# T\nx"
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, None, None, 1), (2, "", " ", 2), (3, "**a**", "# h\n\n- x\n- x", 3), (3, "**a**", "# h\n\n- x\n- x", 3), (4, "p", "q " * 200_000, 4)], "side_id bigint, title string, body string, element int")
     rows = {tuple(r) for r in marked_elements(df, "side_id", "title", "body").collect()}
