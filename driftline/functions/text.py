@@ -17,7 +17,8 @@ STOP_WORDS = ["the", "and", "for", "from", "with", "this", "that", "geth", "bsc"
 TRIVIAL = ["{", "}", "},", ");"]
 TRIVIAL_MORE = ["{", "}", "},", ")", "nil", "true", "false"]
 
-_LITERAL = r"\"(?:\\.|[^\"\\])*\"|`[^`]*`|\b\d+\b"
+# Possessive, as Java walks any other repeated group by recursion: a quotation of some thousand characters would overflow its stack.
+_LITERAL = r"\"(?:\\.|[^\"\\])*+\"|`[^`]*`|\b\d+\b"
 
 
 def first_truthy(*cols: Column) -> Column:

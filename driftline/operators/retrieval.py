@@ -16,8 +16,9 @@ from driftline.functions.paths import basename, dirname, extension, is_test_or_d
 from driftline.functions.seqratio import path_score
 from driftline.functions.text import TOKEN_WORD, clone_tokens, dice_jaccard_of, jaccard
 from driftline.functions.vectors import unit
+from driftline.operators.nearest import nearest_sets
 from driftline.operators.ranking import reciprocal, top_k
-from driftline.runtime import fan_out
+from driftline.runtime import fan_out, spread
 
 def _order() -> list[Column]:
     return [F.col("score").desc(), F.col("path")]
@@ -127,16 +128,13 @@ def impact_fusion(reference: DataFrame, intent: DataFrame, sources: DataFrame, k
 
 
 def clone_topk(queries: DataFrame, documents: DataFrame, query: str, doc: str, k: int) -> DataFrame:
-    """Top k documents per query by token-clone similarity, over an inverted index.
+    """Top k documents per query by token-clone similarity, over blocks of token sets (see :mod:`driftline.operators.nearest`).
 
-    Both sides are (id, text). Tokens of the queries alone are looked up in the
-    documents; intersections are counted map-side before they are shuffled.
+    Both sides are (id, text). No row is formed for a pair that merely shares a token.
     """
-    q = queries.select(F.col(query).alias("q"), clone_tokens(F.col("text")).alias("qt"))
-    d = documents.select(F.col(doc).alias("d"), clone_tokens(F.col("text")).alias("dt"))
-    qs, ds = q.select("q", F.size("qt").alias("nq"), F.explode("qt").alias("t")), d.select("d", F.size("dt").alias("nd"), F.explode("dt").alias("t"))
-    common = qs.join(ds, "t").groupBy("q", "d", "nq", "nd").agg(F.count(F.lit(1)).alias("c"))
-    scored = common.withColumn("score", F.round(dice_jaccard_of(F.col("c"), F.col("nq"), F.col("nd")), 6))
+    sets = lambda df, key: spread(df.select(key, "text")).select(key, clone_tokens(F.col("text")))
+    near = nearest_sets(sets(queries, query), sets(documents, doc), k)
+    scored = near.withColumn("score", F.round(dice_jaccard_of(F.col("c"), F.col("nq"), F.col("nd")), 6))
     return top_k(scored, ["q"], [F.col("score").desc(), F.col("d")], k).select(F.col("q").alias(query), F.col("d").alias(doc), "score", "rank")
 
 
