@@ -80,3 +80,19 @@ def test_clone_retrieval_forms_no_row_per_pair_of_common_tokens(spark, tmp_path)
     kinds = {i: kind for i, _, kind in rows}
     want = brute([(i, words[i]) for i in words if kinds[i] == "release_note"], [(i, words[i]) for i in words if kinds[i] == "design"], 5)
     assert sorted((r.doc_id, r["rank"], r.other_id) for r in found) == sorted((q, n + 1, d) for q, ds in want.items() for n, (d, _) in enumerate(ds))
+
+
+def test_clone_retrieval_all_forms_no_row_per_pair_of_common_tokens(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from driftline.functions.text import clone_tokens
+    from driftline.plans import retrieval_queries as Q
+
+    r = random.Random(5)
+    rows = [(i, "the common words stand everywhere " + " ".join(f"word{r.randrange(40)}" for _ in range(r.randrange(1, 30))), r.choice(["issue", "mail"])) for i in range(1500)]
+    spark.createDataFrame([*rows, (1600, "", "issue")], "doc_id long, text string, kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.clone_retrieval_all(spark, str(tmp_path))
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    words = {x.doc_id: x.t for x in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", clone_tokens(F.col("text")).alias("t")).collect() if x.t}
+    want = {q: [d for d, _ in brute([(q, words[q])], [(d, t) for d, t in words.items() if d != q], 5)[q]] for q in words if q % 50 == 0}
+    assert sorted((x.doc_id, x["rank"], x.other_id) for x in got.collect()) == sorted((q, n + 1, d) for q, ds in want.items() for n, d in enumerate(ds))
